@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.runtime import cut
+
 CORRUPT = "__corrupt"
 #: Above this number of marks a record isn't handed to the reader, whose column buffer is fixed; the second pass takes it.
 READER_COLUMNS = 20_000
@@ -133,7 +135,7 @@ def read_records(
     parsed = F.lit(None).cast(f"struct<{shape}>")
     for k, (head, (_, sep)) in enumerate(zip(heads, layouts)):
         fields = ", ".join(f"`c{i}` {_sql_type(columns.get(name))}" for i, name in enumerate(head))
-        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "sep": sep, "quote": '"', "escape": '"', "maxColumns": str(READER_COLUMNS + 480), "maxCharsPerColumn": "-1"}
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "sep": sep, "quote": '"', "escape": '"', "maxColumns": str(READER_COLUMNS + 480), "maxCharsPerColumn": "-1", "inputBufferSize": "4096"}
         read = F.from_csv(F.col("line"), f"{fields}, `{CORRUPT}` STRING", options)
 
         places = [head.index(n) if n in head else None for n in columns]
@@ -173,10 +175,13 @@ def read_records(
     )
     out = second.withColumn("bad", bad).withColumn("reason", reason)
     good = F.col("reason").isNull()
-    return out.select(
+    loaded = out.select(
         F.col("r_id").alias(record_id), F.col("r_file").alias(file_id), F.col("f_target").alias("target"), "reason", F.when(F.col("reason") == "bad_value", F.col("bad")).alias("bad_column"), F.when(~good, F.col("r_raw")).alias("raw_line"),
         *[F.when(good, F.col(f"v{i}")).alias(f"v_{n}") for i, n in enumerate(columns)],
     )
+    # Written once for all who split it. It also keeps a filter on the reason from being pushed into the parser, which would parse
+    # every record again for each of the many places that lead to its reason.
+    return cut(loaded)
 
 
 def _sql_type(kind: Cell | None) -> str:
