@@ -1,0 +1,229 @@
+"""Record loading, references and load profiles against plain Python, with the cases of their docstrings."""
+
+import random
+import re
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemill.operators.asof import last_before
+from tidemill.operators.column_profile import broken_limits, describe, mask_of, profile_loads, rare_masks
+from tidemill.operators.references import broken_by_month, broken_references, match_references
+from tidemill.sources.delimited import IntCell, TextCell, int_cell, read_records, rejected, valid_rows
+
+T0 = datetime(2024, 1, 1)
+CELLS = {"id": IntCell(nullable=False), "year": IntCell(least=2000, most=2035), "revenue": IntCell(), "region": TextCell()}
+
+
+def split_by_hand(line, mark):
+    """Cells of a record, or None where its quoting is broken."""
+    cells, at = [], 0
+    while True:
+        if line[at : at + 1] == '"':
+            cell, at = "", at + 1
+            while True:
+                end = line.find('"', at)
+                if end < 0:
+                    return None
+                cell += line[at:end]
+                if line[end + 1 : end + 2] == '"':
+                    cell, at = cell + '"', end + 2
+                    continue
+                at = end + 1
+                break
+            if at < len(line) and line[at] != mark:
+                return None
+        else:
+            end = line.find(mark, at)
+            end = len(line) if end < 0 else end
+            cell = line[at:end]
+            if '"' in cell:
+                return None
+            at = end
+        cells.append(cell)
+        if at >= len(line):
+            return cells
+        at += 1
+
+
+def judge_by_hand(raw, header, mark):
+    line = raw[:-1] if raw.endswith("\r") else raw
+    if not line.strip(" "):
+        return "skip", None
+    cells, names = split_by_hand(line, mark), header.split(mark)
+    if cells is None:
+        return "quoting", None
+    if len(cells) != len(names):
+        return "column_count", None
+    out = {}
+    for name, cell in zip(names, cells):
+        kind = CELLS.get(name)
+        if isinstance(kind, IntCell):
+            if cell == "":
+                v = None
+            elif re.fullmatch(r" *[+-]?[0-9]+(_[0-9]+)* *", cell) and -(2**63) <= int(cell.strip(" ")) < 2**63:
+                v = int(cell.strip(" "))
+            else:
+                return "bad_value", None
+            if (v is None and not kind.nullable) or (name == "year" and v is not None and not 2000 <= v <= 2035):
+                return "bad_value", None
+            out[name] = v
+        elif kind:
+            out[name] = cell or None
+    return None, out
+
+
+FILES = [(1, "orders", "id,region,year", ","), (2, "lineitem", "revenue\tid\tnote", "\t"), (3, "orders", "year;region;id", ";"), (4, "orders", "id", ",")]
+
+
+def run_records(spark, raws):
+    files = spark.createDataFrame([(*f, "x") for f in FILES], "file_id long, target_name string, header_line string, cell_mark string, raw_line string")
+    records = spark.createDataFrame([(i, f, r, "x") for i, (f, r) in enumerate(raws)], "record_id long, file_id long, raw_line string, layout string")
+    return read_records(records, files, CELLS)
+
+
+def test_records_against_python(spark):
+    rng = random.Random(3)
+    pieces = ['"', '""', ",", "\t", ";", "a", "1", "2024", " ", "_", "\n", "é", "٣", "-", "+", "00", "99999999999999999999", "\\", "\r", "\0", "\u0001", "|"]
+    raws = [(1, "1,west,2024"), (1, '"1","we,st","2024"\r'), (1, "1,west"), (1, '1,we"st,2024'), (1, ' 1_0 ,"say ""hi""",+2024'), (1, ",west,2024"), (1, "1,,"), (1, ""), (1, "  \r"), (1, "\r\r")]
+    raws += [(1, '1,"a\nb",2024'), (1, "1,a\nb,2024"), (1, "٣,west,2024"), (1, "1,west,1999"), (2, "5\t6\t"), (2, "\t1\tx"), (3, '2024;"";7'), (3, "2024;w;x"), (4, "1"), (4, '""'), (4, "1,2"), (4, "--1"), (4, "1__0"), (4, "_1"), (4, "1_")]
+    raws += [(4, "0" * 60 + "7"), (4, "9223372036854775807"), (4, "-9223372036854775808"), (4, "9223372036854775808"), (1, "1,west,2024"), (1, "1," + "x" * 300_000 + ",2024"), (1, "1" + "," * 30_000)]
+    for _ in range(700):
+        f = rng.choice(FILES)
+        n = rng.randint(1, 9)
+        raws.append((f[0], "".join(rng.choice([*pieces, f[3]]) for _ in range(n))))
+    got = {r.record_id: r for r in run_records(spark, raws).collect()}
+    for i, (f, raw) in enumerate(raws):
+        reason, values = judge_by_hand(raw, *FILES[f - 1][2:])
+        if reason == "skip":
+            assert i not in got, raw
+            continue
+        assert got[i].reason == reason, (raw, got[i])
+        assert got[i].raw_line == (raw if reason else None)
+        if values is not None:
+            assert all(got[i][f"v_{n}"] == v for n, v in values.items()), (raw, got[i])
+
+
+def test_records_outputs(spark):
+    loaded = run_records(spark, [(1, "1,west,2024"), (2, "5\t\tx"), (2, "5\t7\tx"), (9, "1,2"), (None, "x"), (1, None), (1, "x,west,1")])
+    assert [tuple(r) for r in valid_rows(loaded, "orders", ["id", "region", "year"]).collect()] == [(0, 1, "west", 2024)]
+    assert [tuple(r) for r in valid_rows(loaded, "lineitem", ["revenue"]).collect()] == [(2, 5)]
+    bad = {r.record_id: (r.reason, r.bad_column) for r in rejected(loaded).collect()}
+    assert bad == {1: ("bad_value", "id"), 3: ("no_file", None), 4: ("no_file", None), 6: ("bad_value", "id")}
+    assert run_records(spark, []).count() == 0
+    none = spark.createDataFrame([], "file_id long, target_name string, header_line string, cell_mark string")
+    one = spark.createDataFrame([(1, 1, "a")], "record_id long, file_id long, raw_line string")
+    assert [r.reason for r in read_records(one, none, CELLS).collect()] == ["no_file"]
+
+
+def test_int_cell(spark):
+    df = spark.createDataFrame([("+7",), (" -07 ",), ("1_0",), ("",), (" ",), ("1e3",), ("1.0",), (None,), ("+",), ("1" + "_1" * 20_000,)], "c string")
+    assert [r[0] for r in df.select(int_cell(F.col("c"))).collect()] == [7, -7, 10, None, None, None, None, None, None, None]
+
+
+# --- references
+
+
+def test_last_before_against_python(spark):
+    rng = random.Random(1)
+    events = [(rng.choice([1, 1, 1, 2, 3, None]), T0 + timedelta(hours=rng.randrange(60)), i, rng.choice(["a", "b", "c"])) for i in range(400)]
+    probes = [(rng.choice([1, 1, 1, 2, 4, None]), T0 + timedelta(hours=rng.randrange(-5, 65)), i) for i in range(500)]
+    probes += probes[:5]
+    got = last_before(spark.createDataFrame(events, "key long, at timestamp, seq long, value string"), spark.createDataFrame(probes, "key long, at timestamp, seq long"))
+
+    def expected(key, at, _):
+        known = [(e[1], e[2], e[3]) for e in events if e[0] == key and key is not None and e[1] <= at]
+        return max(known)[2] if known else None
+
+    assert Counter((r.key, r.seq, r.value) for r in got.collect()) == Counter((p[0], p[2], expected(*p)) for p in probes)
+    empty = spark.createDataFrame([], "key long, at timestamp, seq long, value string")
+    assert {r.value for r in last_before(empty, spark.createDataFrame(probes, "key long, at timestamp, seq long")).collect()} == {None}
+
+
+@pytest.mark.parametrize("match", ["simple", "partial", "full"])
+def test_composite_references(spark, match):
+    parents = [(1, "a"), (1, "b"), (2, None), (3, "c"), (3, "c")]
+    refs = [(1, "a"), (1, "z"), (9, None), (1, None), (None, "c"), (None, "q"), (None, None), (2, None), (1, "a")]
+    df = spark.createDataFrame([(i, *r, True) for i, r in enumerate(refs)], "i long, x long, y string, orphan boolean")
+    got = match_references(df, spark.createDataFrame(parents, "x long, y string"), [("x", "x"), ("y", "y")], {"n": F.count(F.lit(1))}, match)
+
+    def orphan(x, y):
+        if x is None and y is None or (match == "simple" and None in (x, y)):
+            return False
+        if match == "full" and None in (x, y):
+            return True
+        return not any((x is None or p[0] == x) and (y is None or p[1] == y) for p in parents)
+
+    assert {r.i: r.orphan for r in got.collect()} == {i: orphan(*r) for i, r in enumerate(refs)}
+    with pytest.raises(ValueError):
+        match_references(df, df, [("x", "x")], {}, "some")
+
+
+def test_broken_references_against_python(spark):
+    rng = random.Random(7)
+    moment = lambda: T0 + timedelta(hours=rng.randrange(100))
+    parents = [(rng.choice([1, 1, 2, 3, 4, 5]), moment()) for _ in range(30)]
+    changes = [(i, rng.choice([1, 1, 1, 2, 3, 8, None]), rng.choice(["remove", "restore", "amend"]), moment()) for i in range(120)]
+    refs = [("line", i, rng.choice([1, 1, 1, 2, 3, 6, None]), moment(), True) for i in range(300)] + [("change", c[0], c[1], c[3], False) for c in changes]
+    kinds = ("src_table string, row_id long, ref long, at timestamp, check_removed boolean", "key long, at timestamp", "seq long, key long, op string, at timestamp")
+    frames = [spark.createDataFrame(rows, k).withColumn("reason", F.lit("x")) for rows, k in zip((refs, parents, changes), kinds)]
+    got = broken_references(*frames)
+
+    def reason(_, __, ref, at, check):
+        seen = [p[1] for p in parents if p[0] == ref]
+        if not seen:
+            return "missing"
+        if min(seen) > at:
+            return "late"
+        past = [(c[3], c[0], c[2]) for c in changes if c[1] == ref and c[2] != "amend" and c[3] <= at]
+        return "deleted" if check and past and max(past)[2] == "remove" else None
+
+    want = {(r[0], r[1]): reason(*r) for r in refs if r[2] is not None}
+    assert {(r.src_table, r.row_id): r.reason for r in got.collect()} == {k: v for k, v in want.items() if v}
+    assert sum(r.n for r in broken_by_month(got).collect()) == got.count()
+    nothing = [spark.createDataFrame([], k) for k in kinds]
+    assert broken_references(*nothing).count() == 0
+    assert {r.reason for r in broken_references(frames[0], nothing[1], frames[2]).collect()} == {"missing"}
+
+
+# --- profiles
+
+LIMITS = "table_name string, column_name string, max_null_rate double, min_value long, max_value long, value_pattern string, max_bad_rate double, min_distinct long, max_shift double"
+STATS = "table_name string, column_name string, load_no long, region string, year long, sku string, row_count long"
+
+
+def test_masks(spark):
+    df = spark.createDataFrame([("north-west",), ("Hinge-02",), ("ÄB  c7\t",), ("日本x",), ("",), (None,), ("a" * 100_000,)], "v string")
+    assert [r[0] for r in df.select(mask_of(F.col("v"))).collect()] == ["a-a", "Aa-9", "A_a9_", "xa", "", None, "a"]
+
+
+def test_profile_and_limits(spark):
+    t = [(1, 5, "ab"), (1, 7, "ab"), (1, None, "cd"), (1, 900, "X1"), (2, 5, "zz"), (2, 5, "zz"), (2, 5, "zz"), (2, 5, None), (3, None, None), (None, 1, "q")]
+    df = spark.createDataFrame([(*r, "z") for r in t], "load_no long, num long, txt string, value string")
+    limits = spark.createDataFrame(
+        [("t", "num", 0.2, 0, 100, None, 0.3, 2, None), ("t", "txt", None, None, None, "[a-z]+", 0.2, None, 0.5), ("t", "gone", 0.0, None, None, None, None, None, None), ("u", "num", 0.0, None, None, None, None, None, None)], LIMITS
+    )
+    p = profile_loads({"t": df}, limits)
+    rows = {(r.load_no, r.column_name): r for r in describe(p).collect()}
+    assert (rows[1, "num"].row_count, rows[1, "num"].null_count, rows[1, "num"].ndv, rows[1, "num"].min_value, rows[1, "num"].max_value) == (4, 1, 3, 5, 900)
+    assert rows[2, "txt"].shift == 1.0 and rows[2, "txt"].mask_shift == 0.25 and rows[1, "txt"].shift is None and rows[3, "txt"].shift is None
+    assert rows[2, "num"].shift == pytest.approx(2 / 3) and rows[None, "txt"].ndv == 1
+    stats = spark.createDataFrame([("t", "num", 1, None, None, None, 4), ("t", "id", 2, None, None, None, 9), ("t", "num", 8, None, None, None, 1), ("t", "num", 3, "w", None, None, 9), ("t", "num", 3, None, None, None, None), ("q", "num", 1, None, None, None, 3), ("t", "id", 2, None, None, None, 9)], STATS)
+    got = {tuple(r) for r in broken_limits(p, stats.withColumn("true_rows", F.lit(1))).collect()}
+    assert got == {
+        ("t", 1, "num", "null_rate"), ("t", 3, "num", "null_rate"), ("t", 1, "num", "value_range"), ("t", 2, "num", "few_distinct"), ("t", 3, "num", "few_distinct"),
+        ("t", None, "num", "few_distinct"), ("t", 1, "txt", "pattern"), ("t", 2, "txt", "shift"), ("t", 2, "id", "row_count"), ("t", 8, "num", "row_count"),
+    }
+    assert {r["mask"] for r in rare_masks(p, 0.2).collect()} == {"A9"}
+
+
+def test_profile_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "load_no long, num double")
+    limits = spark.createDataFrame([("t", "num", 0.2, 0, 1, None, 0.3, 2, 0.1)], LIMITS)
+    p = profile_loads({"t": empty}, limits)
+    assert describe(p).count() == 0 and rare_masks(p).count() == 0 and broken_limits(p, spark.createDataFrame([], STATS)).count() == 0
+    odd = spark.createDataFrame([(1, float("nan")), (1, 0.5), (1, 1e300), (2, 0.5)], "load_no long, num double")
+    got = {tuple(r) for r in broken_limits(profile_loads({"t": odd}, limits), spark.createDataFrame([], STATS)).collect()}
+    assert got == {("t", 1, "num", "value_range"), ("t", 2, "num", "few_distinct"), ("t", 2, "num", "shift")}

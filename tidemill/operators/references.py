@@ -27,13 +27,14 @@ def match_references(refs: DataFrame, parents: DataFrame, keys: list[tuple[str,
     The anti-join is written as an outer join with one row per distinct parent key, so that one shuffle of the
     references yields the orphans and, for the others, the facts. Parents are aggregated before the
     join (partial sums before the shuffle) and written out, so the join reads a plain scan and adaptive execution can
-    split a hot key's partition of the references. Extra columns of ``refs`` pass through; repeated references are
-    kept; with no parents at all every checked reference is an orphan.
+    split a hot key's partition of the references. Extra columns of ``refs`` pass through, but for any called like an added one, which
+    is replaced; repeated references are kept; with no parents at all every checked reference is an orphan.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"match must be simple, partial or full, not {match!r}")
     mask = F.concat(*[F.when(F.col(r).isNull(), "1").otherwise("0") for r, _ in keys])
-    marked = refs.withColumn("null_mask", mask)
+    added = {"null_mask", "orphan", *facts}
+    marked = refs.select(*[c for c in refs.columns if c not in added], mask.alias("null_mask"))
     checked = {"simple": ["0" * len(keys)], "full": ["0" * len(keys)], "partial": ["".join(m) for m in product("01", repeat=len(keys)) if "0" in m]}[match]
     parts = []
     for m in checked:
@@ -66,6 +67,7 @@ def broken_references(refs: DataFrame, parents: DataFrame, changes: DataFrame) -
     gone = history.where(F.col("op") == "remove").select("key", F.lit(None).cast("timestamp").alias("seen_at"), F.col("at").alias("removed_at"))
     # A removal alone makes no parent: its key counts as known only where a parent row has it.
     facts = {"parents": F.count("seen_at"), "first_seen": F.min("seen_at"), "first_removed": F.min("removed_at")}
+    refs = refs.select("src_table", "row_id", "ref", "at", "check_removed")
     found = match_references(refs, seen.unionByName(gone), [("ref", "key")], facts)
     at = F.col("at")
     state = (

@@ -120,7 +120,8 @@ def read_records(
     # What a header means is worked out once per file, not per record: its width and the place of each column in it.
     facts = [F.struct(F.lit(len(h)).alias("width"), *[F.lit(h.index(n) if n in h else None).cast("int").alias(f"at{i}") for i, n in enumerate(columns)]) for h in heads]
     files = files.withColumn("layout", number)
-    files = files.withColumn("head", F.get(F.array(*facts), F.col("layout")) if facts else F.lit(None).cast("struct<width: int>"))
+    kind = ", ".join(["width: int"] + [f"at{i}: int" for i in range(len(columns))])
+    files = files.withColumn("head", F.get(F.array(*facts), F.col("layout")) if facts else F.lit(None).cast(f"struct<{kind}>"))
 
     raw = F.col(raw_line)
     lines = records.select(
