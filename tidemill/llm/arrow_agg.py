@@ -19,11 +19,11 @@ Reducer = Callable[[pa.Table], pa.Table]
 GATHER, KEEP = 24 << 20, 48 << 20
 
 
-def group_codes(columns: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray]:
-    """(group number of each row, first row of each group); NULLs are equal to each other."""
-    codes = np.zeros(len(columns[0]), dtype=np.int64)
+def group_codes(columns: list[pa.ChunkedArray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group number of each row, first row of each group); groups are numbered as they come, NULLs are equal to each other."""
+    codes = np.zeros(rows, dtype=np.int64)
     for column in columns:
-        coded = pa.chunked_array([column.combine_chunks()] if column.num_chunks != 1 else column.chunks, type=column.type).chunk(0).dictionary_encode(null_encoding="encode")
+        coded = column.chunk(0).dictionary_encode(null_encoding="encode")
         codes = pd.factorize(codes * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False))[0]
     return codes, np.unique(codes, return_index=True)[1]
 
@@ -35,39 +35,49 @@ def combine(df: DataFrame, reduce: Reducer, keys: list[str], ordered: bool = Fal
     may then come out in several partial states. Ordered (after a shuffle, rows sorted by ``keys``) each group comes
     out once, as soon as the next one begins; only the group at the end of a batch is carried over.
     """
-    schema = df.select(*df.columns).schema
+    schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, state = 0, None
-
-        def reduced() -> pa.Table | None:
-            tables = [t for t in ([state] if state is not None else []) + ([pa.Table.from_batches(held)] if held else [])]
-            return reduce(pa.concat_tables(tables).combine_chunks()) if tables else None
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.nbytes
-            if size < GATHER:
-                continue
-            state, held, size = reduced(), [], 0
-            if ordered:
-                # reduce keeps the order in which groups first appear, so the last one may go on in the next batch
-                if state.num_rows > 1:
-                    yield from state.slice(0, state.num_rows - 1).to_batches(max_chunksize=10_000)
-                    state = state.slice(state.num_rows - 1).combine_chunks()
-            elif state.nbytes > KEEP:
-                yield from state.to_batches(max_chunksize=10_000)
-                state = None
-        last = reduced()
-        if last is not None:
-            yield from last.to_batches(max_chunksize=10_000)
+        return stream(batches, reduce, ordered)
 
     return df.mapInArrow(run, schema)
 
 
+def stream(batches: Iterator[pa.RecordBatch], reduce: Reducer, ordered: bool, gather: int = GATHER, keep: int = KEEP) -> Iterator[pa.RecordBatch]:
+    """One task's part of ``combine``."""
+    held: list[pa.RecordBatch] = []
+    size, state = 0, None
+
+    def reduced() -> pa.Table | None:
+        tables = ([] if state is None else [state]) + ([pa.Table.from_batches(held)] if held else [])
+        return reduce(pa.concat_tables(tables).combine_chunks()) if tables else None
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < gather:
+            continue
+        state, held, size = reduced(), [], 0
+        if ordered:
+            # reduce puts groups out in the order they first came, so only the last may go on in the next batch
+            begun = last_group(state)
+            yield from state.slice(0, begun).to_batches(max_chunksize=10_000)
+            state = state.slice(begun).combine_chunks()
+        elif state.nbytes > keep:
+            yield from state.to_batches(max_chunksize=10_000)
+            state = None
+    last = reduced()
+    if last is not None:
+        yield from last.to_batches(max_chunksize=10_000)
+
+
+def last_group(state: pa.Table) -> int:
+    """Where the last group begins: a state has one row per group."""
+    return max(0, state.num_rows - 1)
+
+
 def merge(partials: DataFrame, reduce: Reducer, keys: list[str]) -> DataFrame:
     """One state per group from partial states: a shuffle on the keys, then the streaming merge.
 

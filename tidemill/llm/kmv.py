@@ -24,7 +24,7 @@ Z = 4.0
 
 
 def _smallest(table: pa.Table, keys: list[str], k: int) -> pa.Table:
-    codes, first = group_codes([table[c] for c in keys])
+    codes, first = group_codes([table[c] for c in keys], table.num_rows)
     lists = table["hashes"].chunk(0)
     hashes = lists.flatten().to_numpy(zero_copy_only=False)
     groups = np.repeat(codes, np.diff(lists.offsets.to_numpy()))

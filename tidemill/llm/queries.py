@@ -103,7 +103,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     # Rows of one id agree, so any will do. Written out, the join reads two plain scans and a hot order's partition can be split.
     orders = cut(table(spark, d, "shop_orders").where(F.col("region").isNotNull()).groupBy("id").agg(F.max("region").alias("region")))
     joined = lines.join(orders, lines["order_id"] == orders["id"]).select("load_no", "region", "sku", "revenue", "line_id")
-    return top_n(joined, ["load_no", "region", "sku"], "revenue", "line_id", 3).select(F.col("item").alias("line_id"), F.col("rank_no").cast("bigint").alias("rank_no"))
+    return top_n(joined, ["load_no", "region", "sku"], "revenue", "line_id", 3).select("line_id", F.col("rank_no").cast("bigint").alias("rank_no"))
 
 
 # --- containers ------------------------------------------------------------------------------------------------------

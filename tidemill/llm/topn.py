@@ -16,7 +16,7 @@ from tidemill.llm.arrow_agg import combine, group_codes
 
 def _best(table: pa.Table, keys: list[str], n: int) -> pa.Table:
     """The bounded heaps of all groups at once: each keeps its n first rows by score, highest first, then identifier."""
-    codes, first = group_codes([table[c] for c in keys])
+    codes, first = group_codes([table[c] for c in keys], table.num_rows)
     score = table["score"].chunk(0).to_numpy(zero_copy_only=False)
     falling = ~score if score.dtype.kind == "i" else -score
     item = table["item"].chunk(0).to_numpy(zero_copy_only=False)
@@ -29,7 +29,7 @@ def _best(table: pa.Table, keys: list[str], n: int) -> pa.Table:
 
 
 def partial_top_n(df: DataFrame, keys: list[str], score: str, item: str, n: int) -> DataFrame:
-    """``keys, score, item``: of every task's rows the n best of each group.
+    """``k0, k1, …, score, item``: of every task's rows the n best of each group.
 
     Rows with a NULL score or item take no part. An associative partial result: the n best of several of these are the
     n best of all their rows, also for coarser groups.
@@ -37,23 +37,26 @@ def partial_top_n(df: DataFrame, keys: list[str], score: str, item: str, n: int)
     kind = df.schema[score].dataType
     if not isinstance(kind, (T.IntegralType, T.FractionalType)) or isinstance(kind, T.DecimalType):
         raise TypeError(f"the score must be an integer or a float, not {kind.simpleString()}")
-    slim = df.where(F.col(score).isNotNull() & F.col(item).isNotNull()).select(*keys, F.col(score).alias("score"), F.col(item).alias("item"))
-    return combine(slim, partial(_best, keys=keys, n=n), keys)
+    inner = [f"k{i}" for i in range(len(keys))]
+    slim = df.where(F.col(score).isNotNull() & F.col(item).isNotNull()).select(*[F.col(k).alias(i) for k, i in zip(keys, inner)], F.col(score).alias("score"), F.col(item).alias("item"))
+    return combine(slim, partial(_best, keys=inner, n=n), inner)
 
 
-def top_n(df: DataFrame, keys: list[str], score: str, item: str, n: int) -> DataFrame:
-    """``keys, score, item, rank_no``: the n rows of each group with the highest score, ties by the smaller item.
+def top_n(df: DataFrame, keys: list[str], score: str, item: str, n: int, rank: str = "rank_no") -> DataFrame:
+    """The keys, score, item and ``rank`` of the n rows of each group with the highest score, ties by the smaller item.
 
     Before the shuffle each task keeps a heap of n rows per group, so a group with a third of all rows sends n rows per
     task. The heaps are merged after it by the same order; the merge sorts and spills, it never holds a group.
 
-    Defined cases: groups with fewer than n rows come out whole; NULL in a key column is a value of its own; NULL
-    scores and items take no part; NaN ranks below every number; repeated rows (same score and item) take a rank each; an empty
-    table gives an empty result; other columns of ``df``, whatever their names, are not read.
+    Defined cases: groups with fewer than n rows come out whole; no keys make one group; NULL in a key column is a value of its own;
+    NULL scores and items take no part; NaN ranks below every number; repeated rows (same score and item) take a rank each; an
+    empty table gives an empty result; other columns of ``df``, whatever their names, are not read.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     heaps = partial_top_n(df, keys, score, item, n)
-    nan_last = F.when(F.isnan("score"), F.lit(None)).otherwise(F.col("score")) if isinstance(df.schema[score].dataType, (T.FloatType, T.DoubleType)) else F.col("score")
-    ranked = heaps.withColumn("rank_no", F.row_number().over(Window.partitionBy(*keys).orderBy(nan_last.desc_nulls_last(), F.col("item").asc())))
-    return ranked.where(F.col("rank_no") <= n)
+    inner = [f"k{i}" for i in range(len(keys))]
+    fraction = isinstance(df.schema[score].dataType, (T.FloatType, T.DoubleType))
+    number = F.when(~F.isnan("score"), F.col("score")) if fraction else F.col("score")
+    ranked = heaps.withColumn("rank", F.row_number().over(Window.partitionBy(*inner).orderBy(number.desc_nulls_last(), F.col("item").asc())))
+    return ranked.where(F.col("rank") <= n).select(*inner, "score", "item", "rank").toDF(*keys, score, item, rank)
