@@ -99,7 +99,7 @@ _add("null_distinct", "SELECT DISTINCT g FROM n", f"SELECT DISTINCT g FROM {_NUL
 def _query(text: str, options: dict) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         tables = catalog(spark, d)
-        tables.register("n", "k BIGINT, g STRING, v DOUBLE", NULL_ROWS)
+        tables.waiting["n"] = lambda: tables.register("n", "k BIGINT, g STRING, v DOUBLE", NULL_ROWS)
         return engine.sql(tables, text, **options)
 
     return run

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -37,11 +37,13 @@ class Catalog:
         self.spark = spark
         self.tables: dict[str, Table] = {}
         self.stats: dict[str, Any] = {}
+        self.waiting: dict[str, Callable[[], Table]] = {}
 
     def _put(self, name: str, columns: Sequence[str], frame: DataFrame, version: int | None = None) -> Table:
         plain = frame.toDF(*[f"c{i}" for i in range(len(columns))])
         self.tables[name] = Table(name, tuple(columns), plain, version)
         self.stats.pop(name, None)
+        self.waiting.pop(name, None)
         return self.tables[name]
 
     def register(self, name: str, schema: T.StructType | str | Sequence[str], rows: Iterable[Sequence[Any]]) -> Table:
@@ -61,8 +63,10 @@ class Catalog:
     def register_frame(self, name: str, frame: DataFrame) -> Table:
         return self._put(name, frame.columns, frame)
 
-    def load_parquet(self, name: str, path: str | Path) -> Table:
-        return self.register_frame(name, self.spark.read.parquet(str(path)))
+    def load_parquet(self, name: str, path: str | Path) -> None:
+        """A Parquet file or directory; its footers are first read when a query names it."""
+        self.tables.pop(name, None)
+        self.waiting[name] = lambda: self.register_frame(name, self.spark.read.parquet(str(path)))
 
     def load_csv(self, name: str, path: str | Path, alias: str | None = None, multiline: bool = True) -> Table:
         """A CSV file with a header, typed by its cells. ``alias`` is accepted for the name a query gives the table anyway."""
@@ -80,6 +84,8 @@ class Catalog:
         return snapshot.version
 
     def get(self, name: str) -> Table:
+        if name in self.waiting:
+            return self.waiting[name]()
         if name not in self.tables:
             raise EngineError(f"unknown table {name}")
         return self.tables[name]
