@@ -14,6 +14,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemill.runtime import ship
+
 Reducer = Callable[[pa.Table], pa.Table]
 #: Bytes of input gathered between two reductions, and of state a task keeps before it hands the state on and starts anew.
 GATHER, KEEP = 24 << 20, 48 << 20
@@ -35,12 +37,12 @@ def combine(df: DataFrame, reduce: Reducer, keys: list[str], ordered: bool = Fal
     may then come out in several partial states. Ordered (after a shuffle, rows sorted by ``keys``) each group comes
     out once, as soon as the next one begins; only the group at the end of a batch is carried over.
     """
-    schema = df.schema
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return stream(batches, reduce, ordered)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def stream(batches: Iterator[pa.RecordBatch], reduce: Reducer, ordered: bool, gather: int = GATHER, keep: int = KEEP) -> Iterator[pa.RecordBatch]:

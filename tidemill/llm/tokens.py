@@ -8,9 +8,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.runtime import ship
+
 #: Rank file of a byte-level BPE and the pattern that cuts a text into pieces, both of public tokenizers.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the piece pattern published with that vocabulary
@@ -30,6 +32,7 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
     The vocabulary is loaded once per Python worker.
     """
+    ship(SparkSession.active())
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.runtime import cut
+from tidemill.runtime import cut, ship
 
 #: A limit needs this many different texts at its length (fewer where the source has no longer text), this many times as many per
 #: length as the surrounding lengths have, and this share of them without the end of a sentence.
@@ -177,6 +177,7 @@ def examine(text: str, page: bytes | None, headers: str | None) -> tuple:
 
 def features(docs: DataFrame) -> DataFrame:
     """``doc_id, source`` and the features of every document with text, in one pass of Arrow batches."""
+    ship(docs.sparkSession)
     columns = [f.split(" ")[0] for f in FEATURES.split(", ")]
 
     @F.pandas_udf(f"struct<{FEATURES.replace(' ', ': ').replace(',:', ',')}>")
