@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 from tidemill.sources.catalog import Catalog, Table
 
 #: Up to this many rows distinct values are counted exactly, above it by a sketch of bounded size.
-EXACT_ROWS = 1_000_000
-SKETCH_ERROR = 0.02
+EXACT_ROWS = 100_000
+SKETCH_ERROR = 0.05
 
 
 @dataclass
@@ -25,18 +27,28 @@ class TableStats:
 
 
 def table_stats(catalog: Catalog, table: Table, columns: set[str]) -> TableStats:
-    """Statistics of a table, with the distinct counts of ``columns``; kept until the name is registered anew."""
+    """Statistics of a table, with the distinct counts of ``columns``; kept until the name is registered anew.
+
+    One pass over just those columns gives the rows and sketched counts; a small table is counted exactly by another.
+    """
     known = catalog.stats.get(table.name)
-    if known is None or known[0] is not table:
-        known = catalog.stats[table.name] = (table, TableStats(table.frame.count()))
-    stats = known[1]
-    wanted = [c for c in dict.fromkeys(table.columns) if c in columns and c not in stats.ndv]
-    if wanted:
-        internal = {c: f"c{table.columns.index(c)}" for c in wanted}
-        if stats.row_count <= EXACT_ROWS:
-            counts = [F.count_distinct(F.col(internal[c])).alias(internal[c]) for c in wanted]
-        else:
-            counts = [F.approx_count_distinct(F.col(internal[c]), SKETCH_ERROR).alias(internal[c]) for c in wanted]
-        row = table.frame.agg(*counts).first()
-        stats.ndv.update({c: row[internal[c]] for c in wanted})
+    stats = known[1] if known is not None and known[0] is table else TableStats(-1)
+    wanted = {c: F.col(f"c{i}") for i, c in reversed(list(enumerate(table.columns))) if c in columns and c not in stats.ndv}
+    if stats.row_count < 0 or wanted:
+        row = table.frame.agg(F.count(F.lit(1)), *[F.approx_count_distinct(c, SKETCH_ERROR) for c in wanted.values()]).first()
+        stats.row_count = row[0]
+        if wanted and stats.row_count <= EXACT_ROWS:
+            row = (row[0], *table.frame.agg(*[F.count_distinct(c) for c in wanted.values()]).first())
+        stats.ndv.update(zip(wanted, row[1:]))
+        catalog.stats[table.name] = (table, stats)
     return stats
+
+
+def gather(catalog: Catalog, wanted: Sequence[tuple[Table, set[str]]]) -> list[TableStats]:
+    """Statistics of several tables, computed side by side."""
+    merged: dict[str, tuple[Table, set[str]]] = {}
+    for table, columns in wanted:
+        merged[table.name] = (table, merged.get(table.name, (table, set()))[1] | columns)
+    with ThreadPoolExecutor(len(merged) or 1) as pool:
+        list(pool.map(lambda tc: table_stats(catalog, *tc), merged.values()))
+    return [table_stats(catalog, table, columns) for table, columns in wanted]
