@@ -214,7 +214,7 @@ def limits(seen: DataFrame) -> DataFrame:
     trimmed = (F.col("stretch") >= 2 * PILE) & (F.col("stretch") / STRETCH > STEEP * F.greatest(F.col("under") / float(AROUND), F.lit(0.05))) & (F.col("over") * 20 <= F.col("stretch")) & (F.col("stretch_unended") >= UNENDED * F.col("stretch"))
     exact = wide.where(spike).select("source", "unit", F.explode(F.array(*[F.struct((F.col("length") + i).alias("length"), F.lit(i == 0).alias("exact")) for i in range(-3, 4)])).alias("l"))
     back = wide.where(trimmed & ~spike).select("source", "unit", F.explode(F.array(*[F.struct((F.col("length") - i).alias("length"), F.lit(False).alias("exact")) for i in range(STRETCH)])).alias("l"))
-    marks = exact.unionByName(back).groupBy("source", "unit", "l.length").agg(F.max("l.exact").alias("exact"))
+    marks = cut(exact.unionByName(back).groupBy("source", "unit", "l.length").agg(F.max("l.exact").alias("exact")))
     return marks.unionByName(marks.where("exact").select(F.lit(NO_SOURCE).alias("source"), "unit", "length", "exact").distinct())
 
 
