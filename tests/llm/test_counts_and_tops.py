@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import kmv
+from tidemill.llm import arrow_agg, kmv
 from tidemill.llm.arrow_agg import stream
 from tidemill.llm.topn import _best, partial_top_n, top_n
 
@@ -40,7 +40,7 @@ def test_exact_below_k(spark):
     assert merged.where(low != high).count() == 0
 
 
-def test_estimates_stay_within_their_bounds(spark):
+def test_estimates_stay_within_their_bounds(spark, monkeypatch):
     rows = pairs(2, 60_000, ["a", "b", "c"], 30_000)
     df = spark.createDataFrame(rows, SCHEMA)
     want, k = exact(rows, lambda r: r[0]), 256
@@ -51,6 +51,11 @@ def test_estimates_stay_within_their_bounds(spark):
     # one split of the rows or another: the same sketch
     other = kmv.merge_sketches(kmv.partial_sketches(df.repartition(13), ["g"], F.col("id"), k), ["g"], k)
     assert {r.g: r.hashes for r in sketches.collect()} == {r.g: r.hashes for r in other.collect()}
+    # and merged in two levels too, as for very many tasks
+    monkeypatch.setattr(arrow_agg, "BRANCH", 3)
+    deep = kmv.merge_sketches(kmv.partial_sketches(df.repartition(13), ["g"], F.col("id"), k), ["g"], k, tasks=10_000)
+    assert {r.g: r.hashes for r in sketches.collect()} == {r.g: r.hashes for r in deep.collect()} and deep.columns == ["g", "hashes"]
+    assert arrow_agg.scan_tasks(df.repartition(3)) is None and arrow_agg.scan_tasks(spark.range(10, numPartitions=4)) == 4
 
 
 def test_grouping_sets(spark):

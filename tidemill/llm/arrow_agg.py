@@ -13,12 +13,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemill.runtime import ship
 
 Reducer = Callable[[pa.Table], pa.Table]
 #: Bytes of input gathered between two reductions, and of state a task keeps before it hands the state on and starts anew.
 GATHER, KEEP = 24 << 20, 48 << 20
+#: From this many tasks on states are merged in two levels, first those of so many tasks each.
+WIDE, BRANCH = 512, 128
 
 
 def group_codes(columns: list[pa.ChunkedArray], rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +83,22 @@ def last_group(state: pa.Table) -> int:
     return max(0, state.num_rows - 1)
 
 
-def merge(partials: DataFrame, reduce: Reducer, keys: list[str]) -> DataFrame:
-    """One state per group from partial states: a shuffle on the keys, then the streaming merge.
+def merge(partials: DataFrame, reducer: Callable[[list[str]], Reducer], keys: list[str], tasks: int | None = None) -> DataFrame:
+    """One state per group from partial states, whose columns are ``keys`` and the state.
 
-    What a group sends through the shuffle is bounded by the number of tasks times the size of a state.
+    A shuffle on the keys brings a group's states together, sorted, and they are merged as they stream by. What a group
+    sends is bounded by the number of tasks times the size of a state; where ``tasks`` says there are very many, a
+    level in between merges the states of every ``BRANCH`` tasks first, so that no task reads more than a share of a hot group.
     """
-    return combine(partials.repartition(*keys).sortWithinPartitions(*keys), reduce, keys, ordered=True)
+    if tasks is not None and tasks > WIDE:
+        inner = [*keys, "branch"]
+        state = [c for c in partials.columns if c not in keys]
+        marked = partials.withColumn("branch", F.floor(F.spark_partition_id() / BRANCH)).select(*inner, *state)
+        partials = combine(marked.repartition(*inner).sortWithinPartitions(*inner), reducer(inner), inner, ordered=True).select(*keys, *state)
+    return combine(partials.repartition(*keys).sortWithinPartitions(*keys), reducer(keys), keys, ordered=True)
+
+
+def scan_tasks(df: DataFrame) -> int | None:
+    """Number of tasks a plain scan has, None for anything with a shuffle in it; runs nothing."""
+    plan = df._jdf.queryExecution().executedPlan()
+    return None if "AdaptiveSparkPlan" in plan.getClass().getSimpleName() else df.rdd.getNumPartitions()

@@ -61,9 +61,9 @@ def grouping_sets(partials: DataFrame, dims: list[str], sets: list[tuple[str, ..
     return combine(spread.select(*keys, "hashes"), partial(_smallest, keys=keys, k=k), keys)
 
 
-def merge_sketches(partials: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """One sketch per group, keeping the k smallest of all its partial sketches."""
-    return merge(partials, partial(_smallest, keys=keys, k=k), keys)
+def merge_sketches(partials: DataFrame, keys: list[str], k: int = K, tasks: int | None = None) -> DataFrame:
+    """One sketch per group, keeping the k smallest of all its partial sketches; ``tasks`` is how many made them, if known."""
+    return merge(partials.select(*keys, "hashes"), lambda by: partial(_smallest, keys=by, k=k), keys, tasks)
 
 
 def _share(kth: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import kmv, mixing, packing, truncation
+from tidemill.llm.arrow_agg import scan_tasks
 from tidemill.llm.tokens import token_count
 from tidemill.llm.topn import top_n
 from tidemill.runtime import cut, table
@@ -44,7 +45,7 @@ FIXED = ["table_name", "column_name"]
 def _sketches(tall: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     finest = kmv.partial_sketches(tall, [*FIXED, *DIMS], F.col("id"))
     spread = kmv.grouping_sets(finest, DIMS, sets, FIXED)
-    return kmv.merge_sketches(spread, [*FIXED, "grouped", *DIMS])
+    return kmv.merge_sketches(spread, [*FIXED, "grouped", *DIMS], tasks=scan_tasks(tall))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
