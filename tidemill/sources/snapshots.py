@@ -136,11 +136,19 @@ class SnapshotTable:
 
     # --- writing
 
-    def append(self, records: DataFrame | Iterable[Any]) -> int:
-        """Add rows; returns the new version."""
+    def append(self, records: DataFrame | Iterable[Any], once: tuple[str, int] | None = None) -> int:
+        """Add rows; returns the new version.
+
+        ``once``: (writer, number) of a numbered batch. If that writer's batch, or a later one, is in the log already, nothing is added.
+        """
         before = self.version
+        last = self._commit(before)
+        if once and last["batches"].get(once[0], -1) >= once[1]:
+            return before
         files, n = self._write(records)
-        commit = {"version": before + 1, "operation": "APPEND", "num_records": self._commit(before)["num_records"] + n}
+        commit = {"version": before + 1, "operation": "APPEND", "num_records": last["num_records"] + n}
+        if once:
+            commit["batches"] = last["batches"] | {once[0]: once[1]}
         if (before + 1) % WHOLE_EVERY == 0:
             old = [f[len(self.path) + 1 :] for f in self.snapshot(before).files]
             return self._publish(commit | {"files": old + files})
@@ -176,6 +184,8 @@ class SnapshotTable:
     def _publish(self, commit: dict[str, Any]) -> int:
         """Make a commit visible, all of it at once, or fail if its version is taken."""
         target = self._commit_path(commit["version"])
+        if "batches" not in commit:
+            commit["batches"] = self._commit(commit["version"] - 1)["batches"] if commit["version"] else {}
         draft = f"{self.path}/_log/.{uuid.uuid4().hex}"
         with open(draft, "w", encoding="utf-8") as f:
             json.dump(commit | {"timestamp": datetime.now(timezone.utc).isoformat()}, f)
