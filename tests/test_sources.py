@@ -1,6 +1,7 @@
 """CSV typing, snapshot tables, registered rows and the command line."""
 
 import json
+from pathlib import Path
 
 import pytest
 
@@ -11,6 +12,8 @@ from tidemill.plans.costs import Edge, cheapest_order, filtered_rows, join_rows,
 from tidemill.plans.stats import TableStats, table_stats
 from tidemill.plans.syntax import Ref, parse
 
+ROOT = Path(__file__).resolve().parent.parent
+
 
 def load(spark, tmp_path, text, **options):
     path = tmp_path / "t.csv"
@@ -52,7 +55,8 @@ def test_csv_headers(spark, tmp_path):
         load(spark, tmp_path, "")
 
 
-def test_csv_directory(spark):
+def test_csv_directory(spark, monkeypatch):
+    monkeypatch.chdir(ROOT)
     catalog = Catalog(spark)
     assert [t.name for t in catalog.load_dir("examples")] == ["lineitem", "orders"]
     text = "SELECT o.region, SUM(l.revenue) AS total FROM orders o JOIN lineitem l ON o.id = l.order_id WHERE o.year = 2024 GROUP BY o.region"
@@ -202,7 +206,8 @@ def test_profile_without_pushdown(shop):
 # --- command line
 
 
-def test_cli(spark, tmp_path, capsys):
+def test_cli(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(ROOT)
     text = "SELECT region, COUNT(*) AS n FROM orders GROUP BY region ORDER BY n DESC, region"
     assert main([text]) == 0
     assert capsys.readouterr().out == "region | n\n-------+--\nwest   | 2\neast   | 1\nnorth  | 1\n(3 rows)\n"

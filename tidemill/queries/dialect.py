@@ -15,7 +15,7 @@ from tidemill.sources.snapshots import SnapshotTable
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 NULL_ROWS = [(1, "a", 1.5), (None, "a", None), (2, None, 2.5), (None, None, None), (3, "b", 0.0), (3, "b", -1.0)]
-_NULLS = "(VALUES (1, 'a', 1.5), (NULL, 'a', NULL), (2, NULL, 2.5), (NULL, NULL, NULL), (3, 'b', 0.0), (3, 'b', -1.0)) AS n(k, g, v)"
+_NULLS = "(SELECT CAST(k AS BIGINT) AS k, g, CAST(v AS DOUBLE) AS v FROM (VALUES (1, 'a', 1.5), (NULL, 'a', NULL), (2, NULL, 2.5), (NULL, NULL, NULL), (3, 'b', 0.0), (3, 'b', -1.0)) AS r(k, g, v)) AS n"
 
 
 def catalog(spark: SparkSession, d: str) -> Catalog:
@@ -92,7 +92,7 @@ _add("null_not_nested", "SELECT k, v FROM n WHERE NOT (k = 1 OR NOT g = 'a')", f
 _add("null_bool", "SELECT k, (k = 1) AS b, (NOT g = 'a') AS c FROM n", f"SELECT k, coalesce(k = 1, false) AS b, NOT coalesce(g = 'a', false) AS c FROM {_NULLS}")
 _add("null_order", "SELECT k, v FROM n ORDER BY k DESC, v DESC LIMIT 4", f"SELECT k, v FROM {_NULLS} ORDER BY k DESC NULLS LAST, v DESC NULLS LAST LIMIT 4")
 _add("null_group", "SELECT g, COUNT(*) AS n, COUNT(k) AS k, SUM(v) AS s FROM n GROUP BY g", f"SELECT g, COUNT(*) AS n, COUNT(k) AS k, CAST(SUM(v) AS DOUBLE) AS s FROM {_NULLS} GROUP BY g")
-_add("null_join", "SELECT a.k AS k, b.v AS v FROM n a JOIN n b ON a.k = b.k", f"SELECT a.k, b.v FROM (SELECT * FROM {_NULLS}) a JOIN (SELECT * FROM {_NULLS}) b ON a.k = b.k")
+_add("null_join", "SELECT a.k AS k, b.v AS v FROM n a JOIN n b ON a.k = b.k", f"SELECT a.k, b.v FROM (SELECT * FROM {_NULLS}) AS a JOIN (SELECT * FROM {_NULLS}) AS b ON a.k = b.k")
 _add("null_distinct", "SELECT DISTINCT g FROM n", f"SELECT DISTINCT g FROM {_NULLS}")
 
 
@@ -170,7 +170,7 @@ ORACLE = {name: oracle or text for name, (text, oracle, _) in TEXTS.items()} | {
     "snapshot_v1": f"{_SIMPLE} WHERE o_orderstatus = 'F'",
     "snapshot_overwritten": f"{_SIMPLE} WHERE o_custkey < 100",
     "snapshot_latest": "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus",
-    "snapshot_history": """SELECT * FROM (VALUES (0, 'CREATE', 0), (1, 'APPEND', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')), (2, 'APPEND', (SELECT count(*) FROM orders)),
+    "snapshot_history": """SELECT CAST(version AS BIGINT) AS version, operation, CAST(num_records AS BIGINT) AS num_records FROM (VALUES (0, 'CREATE', 0), (1, 'APPEND', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')), (2, 'APPEND', (SELECT count(*) FROM orders)),
   (3, 'OVERWRITE', (SELECT count(*) FROM orders WHERE o_custkey < 100)), (4, 'RESTORE', (SELECT count(*) FROM orders))) AS h(version, operation, num_records)""",
     "csv_round_trip": "SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",
 }
