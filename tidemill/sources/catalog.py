@@ -63,19 +63,29 @@ class Catalog:
     def register_frame(self, name: str, frame: DataFrame) -> Table:
         return self._put(name, frame.columns, frame)
 
-    def load_parquet(self, name: str, path: str | Path) -> None:
-        """A Parquet file or directory; its footers are first read when a query names it."""
+    def _later(self, name: str, load: Callable[[], Table]) -> None:
+        """Load a table when a query first names it."""
         self.tables.pop(name, None)
-        self.waiting[name] = lambda: self.register_frame(name, self.spark.read.parquet(str(path)))
-
-    def load_csv(self, name: str, path: str | Path, alias: str | None = None, multiline: bool = True) -> Table:
-        """A CSV file with a header, typed by its cells. ``alias`` is accepted for the name a query gives the table anyway."""
-        columns, frame = csv_tables.read(self.spark, str(path), multiline)
-        return self._put(name, columns, frame)
+        self.waiting[name] = load
 
-    def load_dir(self, path: str | Path) -> list[Table]:
-        """Every ``*.csv`` of a directory, under its file's stem."""
-        return [self.load_csv(p.stem, p) for p in sorted(Path(path).glob("*.csv"))]
+    def load_parquet(self, name: str, path: str | Path) -> None:
+        """A Parquet file or directory."""
+        self._later(name, lambda: self.register_frame(name, self.spark.read.parquet(str(path))))
+
+    def load_csv(self, name: str, path: str | Path, alias: str | None = None, multiline: bool = True) -> None:
+        """A CSV file with a header, which is read now; its columns are typed when a query first names the table.
+
+        ``alias`` is accepted for the name a query gives the table anyway.
+        """
+        columns = csv_tables.header(self.spark, str(path))
+        self._later(name, lambda: self._put(name, columns, csv_tables.read(self.spark, str(path), columns, multiline)))
+
+    def load_dir(self, path: str | Path) -> list[str]:
+        """Every ``*.csv`` of a directory, under its file's stem; returns the names."""
+        files = sorted(Path(path).glob("*.csv"))
+        for file in files:
+            self.load_csv(file.stem, file)
+        return [f.stem for f in files]
 
     def load_snapshot(self, name: str, path: str | Path, alias: str | None = None, version: int | None = None) -> int:
         """A version of a snapshot table, the latest by default; returns the version read."""

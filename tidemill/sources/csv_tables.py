@@ -33,8 +33,8 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def read(spark: SparkSession, path: str, multiline: bool = True) -> tuple[list[str], DataFrame]:
-    """(column names, DataFrame ``c0, c1, …``) of a CSV file.
+def read(spark: SparkSession, path: str, names: list[str], multiline: bool = True) -> DataFrame:
+    """The records of a CSV file as columns ``c0, c1, …``, one per name of its header.
 
     Empty cells, quoted or not, are NULL; ``""`` within quotes is a quote. A column whose cells all are integers becomes BIGINT
     (DECIMAL(38,0) if one does not fit), one of numbers DOUBLE, any other STRING; integers may have spaces around, a sign, leading
@@ -42,7 +42,6 @@ def read(spark: SparkSession, path: str, multiline: bool = True) -> tuple[list[s
     header dropped; a name that occurs twice is only an error for a query that uses it. ``multiline=False`` lets Spark split large files,
     for data without line breaks in cells.
     """
-    names = header(spark, path)
     plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     reader = spark.read.schema(plain).option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"').option("enforceSchema", True)
     text = reader.csv(path)
@@ -57,7 +56,7 @@ def read(spark: SparkSession, path: str, multiline: bool = True) -> tuple[list[s
             F.coalesce(F.bool_and(number), F.lit(False)).alias(f"{c}_number"),
         ]
     seen = text.agg(*facts).first() if facts else {}
-    return names, text.select(*[_typed(c, seen) for c in text.columns])
+    return text.select(*[_typed(c, seen) for c in text.columns])
 
 
 def _bare(c: str) -> Column:
