@@ -50,13 +50,17 @@ def partial_sketches(df: DataFrame, keys: list[str], value: Column, k: int = K)
     return combine(hashed, partial(_smallest, keys=keys, k=k), keys)
 
 
-def grouping_sets(partials: DataFrame, dims: list[str], sets: list[tuple[str, ...]], fixed: list[str], k: int = K) -> DataFrame:
+def grouping_sets(partials: DataFrame, dims: list[str], sets: list[tuple[str, ...]], fixed: list[str], k: int = K, only: dict[tuple[str, ...], Column] | None = None) -> DataFrame:
     """Partial sketches of each grouping set, from those of the finest groups: the rows are hashed and sorted once.
 
-    Adds ``grouped``, the names of the set's dimensions joined by commas; the others are NULL.
+    Adds ``grouped``, the names of the set's dimensions joined by commas; the others are NULL. ``only`` holds the condition on
+    the finest groups under which a set is wanted, for sets that are not wanted of all.
     """
-    choices = [F.struct(F.lit(",".join(s)).alias("grouped"), *[(F.col(d) if d in s else F.lit(None).cast(partials.schema[d].dataType)).alias(d) for d in dims]) for s in sets]
-    spread = partials.withColumn("set", F.explode(F.array(*choices))).select(*fixed, "set.*", "hashes")
+    choices = []
+    for s in sets:
+        choice = F.struct(F.lit(",".join(s)).alias("grouped"), *[(F.col(d) if d in s else F.lit(None).cast(partials.schema[d].dataType)).alias(d) for d in dims])
+        choices.append(F.when(only[s], choice) if only and s in only else choice)
+    spread = partials.withColumn("set", F.explode(F.array_compact(F.array(*choices)))).select(*fixed, "set.*", "hashes")
     keys = [*fixed, "grouped", *dims]
     return combine(spread.select(*keys, "hashes"), partial(_smallest, keys=keys, k=k), keys)
 

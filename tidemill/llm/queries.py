@@ -42,27 +42,42 @@ def _subsets(dims: list[str]) -> list[tuple[str, ...]]:
 FIXED = ["table_name", "column_name"]
 
 
-def _sketches(tall: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+def _sketches(tall: DataFrame, sets: list[tuple[str, ...]], only: dict[tuple[str, ...], Column] | None = None) -> DataFrame:
     finest = kmv.partial_sketches(tall, [*FIXED, *DIMS], F.col("id"))
-    spread = kmv.grouping_sets(finest, DIMS, sets, FIXED)
+    spread = kmv.grouping_sets(finest, DIMS, sets, FIXED, only=only)
     return kmv.merge_sketches(spread, [*FIXED, "grouped", *DIMS], tasks=scan_tasks(tall))
 
 
+def _asked_sketches(tall: DataFrame, asked: dict[str, set[tuple[str, ...]]]) -> DataFrame:
+    """Sketches of the grouping sets asked for per column; a dimension no set of a column has is left out of its finest groups."""
+    sets = sorted(set().union(*asked.values()))
+    column = F.col("column_name")
+    slim = [F.when(column.isin([c for c, own in asked.items() if any(d in s for s in own)]), F.col(d)).alias(d) for d in DIMS]
+    wanted = tall.where(column.isin(sorted(asked))).select(*FIXED, *slim, "id")
+    only = {s: column.isin([c for c, own in asked.items() if s in own]) for s in sets}
+    return _sketches(wanted, sets, only)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Recorded distinct counts that are off by more than a fifth.
 
     Each record is held against the bounds of its group's sketch. Where these don't settle it, the group's distinct
     values are counted exactly, for those groups only.
     """
-    stats = table(spark, d, "table_stats").where(F.col("ndv").isNotNull() & F.col("table_name").isin("shop_orders", "shop_lineitem"))
     ids = {"shop_orders": ("id", "customer_id", "region", "year"), "shop_lineitem": ("order_id", "sku", "revenue")}
+    limits = [F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("region", "year", "sku")]
+    known = reduce(lambda x, y: x | y, [(F.col("table_name") == t) & F.col("column_name").isin(*cs) for t, cs in ids.items()])
+    stats = table(spark, d, "table_stats").where(F.col("ndv").isNotNull() & F.col("load_no").isNotNull() & known)
+    asked = stats.select("stat_id", *FIXED, "load_no", "region", "year", "sku", "ndv", F.concat_ws(",", F.lit("load_no"), *limits).alias("grouped"))
     tall = _tall(spark, d, ids, day=False)
-    orders = _sketches(tall["shop_orders"], [("load_no", *s) for s in _subsets(["region", "year"])])
-    lines = _sketches(tall["shop_lineitem"], [("load_no", *s) for s in _subsets(["sku"])])
+    combos: dict[str, dict[str, set[tuple[str, ...]]]] = {t: {} for t in ids}
+    for r in asked.select(*FIXED, "grouped").distinct().collect():  # columns times sets of dimensions at most
+        combos[r["table_name"]].setdefault(r["column_name"], set()).add(tuple(r["grouped"].split(",")))
+    parts = [_asked_sketches(tall[t], c) for t, c in combos.items() if c]
+    if not parts:
+        return asked.select("stat_id").limit(0)
     low, high = kmv.bounds(F.col("hashes"))
-    counts = orders.unionByName(lines).select(*FIXED, "grouped", *DIMS, low.alias("low"), high.alias("high"))
-    grouped = F.concat_ws(",", F.lit("load_no"), *[F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("region", "year", "sku")])
-    asked = stats.select("stat_id", *FIXED, "load_no", "region", "year", "sku", "ndv", grouped.alias("grouped"))
+    counts = reduce(DataFrame.unionByName, parts).select(*FIXED, "grouped", *DIMS, low.alias("low"), high.alias("high"))
     on = [asked[c] == counts[c] for c in (*FIXED, "grouped", "load_no")] + [asked[c].eqNullSafe(counts[c]) for c in ("region", "year", "sku")]
     held = asked.join(counts, on, "left").select(asked["*"], F.coalesce(counts["low"], F.lit(0.0)).alias("low"), F.coalesce(counts["high"], F.lit(0.0)).alias("high"))
     wrong = (F.col("ndv") > 1.2 * F.col("high")) | (F.col("ndv") < 0.8 * F.col("low"))
