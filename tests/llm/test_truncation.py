@@ -51,7 +51,7 @@ def test_examine():
     assert tr.examine("Full sentence here. Another one goes on and", None, None)[3:5] == ("midway", None)
     assert tr.examine("It ends. ", None, None)[3:5] == ("sentence", None) and tr.examine("It goes on ", None, None)[4] == "space"
     assert tr.examine("Home | Shop | News", None, "broken headers\x00")[3:] == ("line", None, None, None, False)
-    assert tr.examine("It (was. “So", None, None)[4] == "open" and tr.examine("   ", None, None)[0] == 3
+    assert tr.examine("It (was. “So", None, None)[4] == "open" and tr.examine("   ", None, None)[3:5] == ("blank", None)
     assert tr.examine("More to come...", None, None)[3] == "ellipsis" and tr.examine("x" * 3_000_000 + " (", None, None)[4] == "open"
 
 
@@ -94,7 +94,7 @@ def test_limits_are_found(spark):
 
 
 def test_documents_of_every_kind(spark):
-    rows = [(1, None, "a", None, None), (2, "", "a", "x", b"y"), (3, "lost (in", None, None, None), (3, "lost (in", None, None, None), (4, "fine.", None, None, b""), (5, "x" * 2_000_000, "a", None, b"\xff\xfe"), (6, "cut at a <im", "a", "Content-Length: 99999999999999999999", None), (7, "\n", "b", None, None)]
+    rows = [(1, None, "a", None, None), (2, "", "a", "x", b"y"), (3, "lost (in", None, None, None), (3, "lost (in", None, None, None), (4, "fine.", None, None, b""), (5, "x" * 2_000_000, "a", None, b"\xff\xfe"), (6, "cut at a <im", "a", "Content-Length: 99999999999999999999", None), (7, "\n", "b", None, None), (8, "fine.", "b", None, None)] + [(100 + i, "fine.", "b", None, None) for i in range(9)]
     df = spark.createDataFrame([(*r, "c", "s") for r in rows], SCHEMA)
     got = sorted((r.doc_id, r.cause) for r in tr.truncated(df).collect() if r.cause)
     assert got == [(3, "open"), (3, "open"), (6, "markup")]

@@ -153,7 +153,9 @@ def examine(text: str, page: bytes | None, headers: str | None) -> tuple:
     """The features of one document, see ``FEATURES``; ``text`` is not empty."""
     bare = text.rstrip()
     last = bare[bare.rfind("\n") + 1 :]
-    if _ELLIPSIS.search(bare):
+    if not bare:
+        ends = "blank"
+    elif _ELLIPSIS.search(bare):
         ends = "ellipsis"
     elif _SENTENCE_END.search(bare):
         ends = "sentence"
@@ -162,7 +164,7 @@ def examine(text: str, page: bytes | None, headers: str | None) -> tuple:
     else:
         ends = "line"
     cause = broken_tail(bare) if bare else None
-    if cause is None and ends not in ("sentence", "ellipsis"):
+    if bare and cause is None and ends not in ("sentence", "ellipsis"):
         still, earlier = open_at_end(bare)
         if "<" in still:
             cause = "markup"
@@ -198,7 +200,7 @@ def limits(seen: DataFrame) -> DataFrame:
     shuffle; they are as many as there are different lengths. ``NO_SOURCE`` has the exact limits of all sources, for documents without one.
     """
     unit = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(f"n_{u}").alias("length")) for u in ("chars", "bytes")]))
-    tall = seen.where(F.col("source").isNotNull()).select("source", "same", (F.col("ends") != "sentence").alias("unended"), unit.alias("u"))
+    tall = seen.where(F.col("source").isNotNull()).select("source", "same", (~F.col("ends").isin("sentence", "blank")).alias("unended"), unit.alias("u"))
     # Mirrored copies have one length too: texts that agree shortly before their end count once.
     once = tall.groupBy("source", "u.unit", "u.length", "same").agg(F.max("unended").alias("unended"))
     counts = once.groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("unended").cast("bigint")).alias("n_unended"))
@@ -225,7 +227,8 @@ def truncated(docs: DataFrame) -> DataFrame:
     ``broken`` (seen from the page), ``limit``, ``markup``, ``entity``, ``escape``, ``bytes``, ``open``, ``space`` (structure), ``promised`` (headers),
     ``midway`` (a sentence broken off, with nothing known of the page's length, in a source that is torn about as often as its texts end so).
 
-    A text known to end where its whole page ends is not truncated, whatever its end looks like. NULL and empty texts are left out;
+    A text known to end where its whole page ends is not truncated, whatever its end looks like. NULL and empty texts are left out, and
+    texts of white space are whole;
     documents without a source are held against the exact limits of any source and the structure of their own text; repeated documents are judged each by itself;
     an empty table gives an empty result; other columns are not read.
     """
@@ -254,7 +257,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     baseline = baseline.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
     joined = salted.join(baseline, ["source", "salt"], "left")
 
-    unended = ~F.col("ends").isin("sentence", "ellipsis")
+    unended = ~F.col("ends").isin("sentence", "ellipsis", "blank")
     # A cut leaves a sentence open, or an ellipsis put in its place at exactly the limit; whole texts of that length exist too.
     exact = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
     limit = (exact & (F.col("ends") == "ellipsis")) | ((F.col("at_chars").isNotNull() | F.col("at_bytes").isNotNull()) & unended)
