@@ -42,7 +42,8 @@ def match_references(refs: DataFrame, parents: DataFrame, keys: list[tuple[str,
         names = [f"__key{i}" for i in range(len(used))]
         known = parents.where(reduce(lambda a, b: a & b, [F.col(p).isNotNull() for _, p in used]))
         known = cut(known.groupBy(*[F.col(p).alias(n) for n, (_, p) in zip(names, used)]).agg(F.lit(True).alias("__known"), *[a.alias(n) for n, a in facts.items()]))
-        group = marked.where(F.col("null_mask") == m)
+        # As plain NULL tests the mask reaches the reader of the references.
+        group = marked.where(reduce(lambda a, b: a & b, [F.col(r).isNull() if bit == "1" else F.col(r).isNotNull() for (r, _), bit in zip(keys, m)]))
         joined = group.join(known, [group[r] == known[n] for n, (r, _) in zip(names, used)], "left")
         parts.append(joined.select(*[group[c] for c in marked.columns], known["__known"].isNull().alias("orphan"), *[known[n] for n in facts]))
     rest = marked.where(~F.col("null_mask").isin(checked))
