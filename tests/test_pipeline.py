@@ -75,7 +75,7 @@ def judge_by_hand(raw, header, mark):
     return None, out
 
 
-FILES = [(1, "orders", "id,region,year", ","), (2, "lineitem", "revenue\tid\tnote", "\t"), (3, "orders", "year;region;id", ";"), (4, "orders", "id", ",")]
+FILES = [(1, "orders", "id,region,year", ","), (2, "lineitem", "revenue\tid\tnote", "\t"), (3, "orders", "year;region;id", ";"), (4, "orders", "id", ","), (5, "orders", "id|year|region", "|"), (6, "lineitem", "id.revenue", "."), (7, "orders", "region\\id", "\\"), (8, "orders", "id^year", "^"), (9, "orders", "id,id,extra", ",")]
 
 
 def run_records(spark, raws):
@@ -107,7 +107,7 @@ def test_records_against_python(spark):
 
 
 def test_records_outputs(spark):
-    loaded = run_records(spark, [(1, "1,west,2024"), (2, "5\t\tx"), (2, "5\t7\tx"), (9, "1,2"), (None, "x"), (1, None), (1, "x,west,1")])
+    loaded = run_records(spark, [(1, "1,west,2024"), (2, "5\t\tx"), (2, "5\t7\tx"), (99, "1,2"), (None, "x"), (1, None), (1, "x,west,1")])
     assert [tuple(r) for r in valid_rows(loaded, "orders", ["id", "region", "year"]).collect()] == [(0, 1, "west", 2024)]
     assert [tuple(r) for r in valid_rows(loaded, "lineitem", ["revenue"]).collect()] == [(2, 5)]
     bad = {r.record_id: (r.reason, r.bad_column) for r in rejected(loaded).collect()}

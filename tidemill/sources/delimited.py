@@ -136,7 +136,7 @@ def read_records(
     parsed = F.lit(None).cast(f"struct<{shape}>")
     for k, (head, (_, sep)) in enumerate(zip(heads, layouts)):
         fields = ", ".join(f"`c{i}` {_sql_type(columns.get(name))}" for i, name in enumerate(head))
-        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "sep": sep, "quote": '"', "escape": '"', "maxColumns": str(READER_COLUMNS + 480), "maxCharsPerColumn": "-1", "inputBufferSize": "4096"}
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "sep": "\\\\" if sep == "\\" else sep, "quote": '"', "escape": '"', "maxColumns": str(READER_COLUMNS + 480), "maxCharsPerColumn": "-1", "inputBufferSize": "4096"}
         read = F.from_csv(F.col("line"), f"{fields}, `{CORRUPT}` STRING", options)
 
         places = [head.index(n) if n in head else None for n in columns]
