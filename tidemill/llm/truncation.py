@@ -27,8 +27,8 @@ from tidemill.runtime import cut, ship
 #: A limit needs this many different texts at its length (fewer where the source has no longer text), this many times as many per
 #: length as the surrounding lengths have, and this share of them without the end of a sentence.
 PILE, TOP_PILE, STEEP, AROUND, UNENDED = 8, 3, 10.0, 100, 0.6
-#: Limits that cut back to a word leave lengths in a stretch below the limit, of about two words.
-STRETCH = 12
+#: Limits that cut back to a word leave most lengths in a stretch below the limit, of about two words, and a few in the next word's length.
+STRETCH, FEW = 12, 5
 #: Bytes the headers may promise beyond what they do for the source's whole texts before the rest counts as missing: for any end, and for
 #: one midway in a sentence. In a source whose headers spread wider than the last of these they say nothing.
 LOOSE, TIGHT, SPREAD = 320, 60, 150
@@ -215,7 +215,7 @@ def limits(seen: DataFrame) -> DataFrame:
     spike = (F.col("n") >= enough) & (F.col("n") > STEEP * F.greatest(around, F.lit(0.05))) & (F.col("n_unended") >= UNENDED * F.col("n"))
     trimmed = (F.col("stretch") >= 2 * PILE) & (F.col("stretch") / STRETCH > STEEP * F.greatest(F.col("under") / float(AROUND), F.lit(0.05))) & (F.col("over") * 20 <= F.col("stretch")) & (F.col("stretch_unended") >= UNENDED * F.col("stretch"))
     exact = wide.where(spike).select("source", "unit", F.explode(F.array(*[F.struct((F.col("length") + i).alias("length"), F.lit(i == 0).alias("exact")) for i in range(-3, 4)])).alias("l"))
-    back = wide.where(trimmed & ~spike).select("source", "unit", F.explode(F.array(*[F.struct((F.col("length") - i).alias("length"), F.lit(False).alias("exact")) for i in range(STRETCH)])).alias("l"))
+    back = wide.where(trimmed & ~spike).select("source", "unit", F.explode(F.array(*[F.struct((F.col("length") - i).alias("length"), F.lit(False).alias("exact")) for i in range(STRETCH + FEW)])).alias("l"))
     marks = cut(exact.unionByName(back).groupBy("source", "unit", "l.length").agg(F.max("l.exact").alias("exact")))
     return marks.unionByName(marks.where("exact").select(F.lit(NO_SOURCE).alias("source"), "unit", "length", "exact").distinct())
 
