@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill import engine
 from tidemill.plans.nodes import NestedLoopJoin
+from tidemill.plans.stats import table_stats
 from tidemill.sources.catalog import Catalog
 from tidemill.sources.snapshots import SnapshotTable
 
@@ -154,6 +155,32 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return engine.sql(tables, "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
 
 
+_ANALYZED = "SELECT c.c_mktsegment AS s, COUNT(*) AS n FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus = 'F' GROUP BY c.c_mktsegment"
+
+
+def analyze_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Actual rows of every node of a profiled query."""
+
+    def flat(plan) -> list[tuple[str, int]]:
+        return [(plan.label, plan.actual_rows), *[row for c in plan.children for row in flat(c)]]
+
+    return spark.createDataFrame(flat(engine.explain_analyze(catalog(spark, d), _ANALYZED).plan), "label string, actual_rows bigint")
+
+
+def explain_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a plan whose joins the cost model has moved."""
+    text = "SELECT l.l_orderkey AS k FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE n.n_name = 'CHINA'"
+    lines = engine.explain(catalog(spark, d), text).splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "line bigint, text string")
+
+
+def statistics(spark: SparkSession, d: str) -> DataFrame:
+    """What the cost model knows of a table: rows and distinct values."""
+    tables = catalog(spark, d)
+    known = table_stats(tables, tables.get("supplier"), {"s_nationkey", "s_suppkey"})
+    return spark.createDataFrame([(c, known.row_count, n) for c, n in known.ndv.items()], "column_name string, row_count bigint, ndv bigint")
+
+
 _SIMPLE = "SELECT o_orderkey, o_custkey FROM orders"
 QUERIES = {name: _query(text, options) for name, (text, _, options) in TEXTS.items()} | {
     "select_star": select_star,
@@ -163,6 +190,9 @@ QUERIES = {name: _query(text, options) for name, (text, _, options) in TEXTS.ite
     "snapshot_latest": _at(None, "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"),
     "snapshot_history": snapshot_history,
     "csv_round_trip": csv_round_trip,
+    "analyze_counts": analyze_counts,
+    "explain_plan": explain_plan,
+    "statistics": statistics,
 }
 ORACLE = {name: oracle or text for name, (text, oracle, _) in TEXTS.items()} | {
     "select_star": "SELECT * FROM nation",
@@ -173,4 +203,11 @@ ORACLE = {name: oracle or text for name, (text, oracle, _) in TEXTS.items()} | {
     "snapshot_history": """SELECT CAST(version AS BIGINT) AS version, operation, CAST(num_records AS BIGINT) AS num_records FROM (VALUES (0, 'CREATE', 0), (1, 'APPEND', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')), (2, 'APPEND', (SELECT count(*) FROM orders)),
   (3, 'OVERWRITE', (SELECT count(*) FROM orders WHERE o_custkey < 100)), (4, 'RESTORE', (SELECT count(*) FROM orders))) AS h(version, operation, num_records)""",
     "csv_round_trip": "SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",
+    "analyze_counts": """WITH j AS (SELECT c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F')
+SELECT 'Project s, n' AS label, count(DISTINCT c_mktsegment) AS actual_rows FROM j UNION ALL SELECT 'HashAggregate group_by=[c.c_mktsegment] aggs=[n]', count(DISTINCT c_mktsegment) FROM j
+UNION ALL SELECT 'HashJoin c.c_custkey = o.o_custkey', count(*) FROM j UNION ALL SELECT 'Scan c', count(*) FROM customer
+UNION ALL SELECT 'Filter o.o_orderstatus = ''F''', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'Scan o', count(*) FROM orders""",
+    "explain_plan": """SELECT CAST(line AS BIGINT) AS line, text FROM (VALUES (0, 'Project k'), (1, '  Reorder to declared column order'), (2, '    HashJoin s.s_suppkey = l.l_suppkey'),
+  (3, '      HashJoin n.n_nationkey = s.s_nationkey'), (4, '        Filter n.n_name = ''CHINA'''), (5, '          Scan n'), (6, '        Scan s'), (7, '      Scan l')) AS p(line, text)""",
+    "statistics": "SELECT 's_nationkey' AS column_name, count(*) AS row_count, count(DISTINCT s_nationkey) AS ndv FROM supplier UNION ALL SELECT 's_suppkey', count(*), count(DISTINCT s_suppkey) FROM supplier",
 }
