@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemill import engine
 from tidemill.plans.nodes import NestedLoopJoin
 from tidemill.plans.stats import table_stats
+from tidemill.runtime import working_path
 from tidemill.sources.catalog import Catalog
 from tidemill.sources.snapshots import SnapshotTable
 
@@ -123,7 +123,7 @@ def join_nested_loop(spark: SparkSession, d: str) -> DataFrame:
 def _snapshots(spark: SparkSession, d: str) -> SnapshotTable:
     """orders in two appends, then overwritten and restored: versions 0 to 4."""
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
-    table = SnapshotTable.create(spark, tempfile.mkdtemp(prefix="tidemill-"), orders.schema)
+    table = SnapshotTable.create(spark, working_path(spark).removeprefix("file://"), orders.schema)
     old = F.col("o_orderstatus") == "F"
     table.append(orders.where(old))
     table.append(orders.where(~old))
@@ -148,7 +148,7 @@ def snapshot_history(spark: SparkSession, d: str) -> DataFrame:
 
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A table written as CSV and read back with the types found in its cells."""
-    path = tempfile.mkdtemp(prefix="tidemill-") + "/part.csv"
+    path = working_path(spark)
     spark.read.parquet(f"{d}/part.parquet").write.option("header", True).option("escape", '"').csv(path)
     tables = Catalog(spark)
     tables.load_csv("part", path)

@@ -36,6 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[app]
 
 
+def working_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; ``clear`` removes it with what the application has written."""
+    return f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 
@@ -44,7 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
     may split when a key is skewed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = working_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
