@@ -244,3 +244,18 @@ def test_profile_of_an_empty_table(spark):
     odd = spark.createDataFrame([(1, float("nan")), (1, 0.5), (1, 1e300), (2, 0.5)], "load_no long, num double")
     got = {tuple(r) for r in broken_limits(profile_loads({"t": odd}, limits), spark.createDataFrame([], STATS)).collect()}
     assert got == {("t", 1, "num", "value_range"), ("t", 2, "num", "few_distinct"), ("t", 2, "num", "shift")}
+
+
+def test_profile_of_every_column(spark):
+    """Columns without a limit are described too: unique ones, and timestamps."""
+    rows = [(1, 10, 0.5, "1999-12-31 23:59:59.5", "a"), (1, 11, 0.5, "2000-01-01 00:00:00", "b"), (2, 12, None, "2000-01-01 00:00:00", "b"), (2, 11, 2.5, None, "b"), (3, 99, 2.5, "2000-01-02 00:00:00", None)]
+    df = spark.createDataFrame(rows, "load_no long, id long, part double, at string, txt string").withColumn("at", F.col("at").cast("timestamp"))
+    limits = spark.createDataFrame([("t", "txt", 0.2, None, None, None, None, None, None)], LIMITS)
+    got = {(r.load_no, r.column_name): r for r in describe(profile_loads({"t": df}, limits)).collect()}
+    assert set(got) == {(n, c) for n in (1, 2, 3) for c in ("id", "part", "at", "txt")}
+    assert [(got[n, "id"].ndv, got[n, "id"].min_value, got[n, "id"].max_value, got[n, "id"].shift) for n in (1, 2, 3)] == [(2, 10, 11, None), (2, 11, 12, 0.5), (1, 99, 99, 1.0)]
+    assert [(got[n, "at"].null_count, got[n, "at"].ndv, got[n, "at"].shift, got[n, "at"].mask_shift) for n in (1, 2, 3)] == [(0, 2, None, None), (1, 1, 0.5, 0.5), (0, 1, 1.0, 0.0)]
+    assert (got[1, "at"].min_value, got[1, "at"].max_value) == (946684799500000, 946684800000000) and got[2, "part"].shift == 1.0
+    assert {r.column_name for r in describe(profile_loads({"t": df}, limits, limited=True)).collect()} == {"txt"}
+    few = {(r.column_name, r.mask, r.example) for r in rare_masks(profile_loads({"t": df}, limits), 0.3).collect()}
+    assert few == {("at", "9-9-9_9:9:9.9", "1999-12-31 23:59:59.5")}

@@ -19,11 +19,13 @@ from tidemill.runtime import cut
 KEYS = ["table_name", "load_no", "column_name"]
 #: A mask with a smaller share of a column's values, over all loads, is rare.
 RARE_SHARE = 0.01
+#: Microseconds since 1970 between which the year of a timestamp has four digits in any time zone: 1000-02-01 to 9999-01-01.
+FOUR_DIGITS = (-30_607_372_800_000_000, 253_370_764_800_000_000)
 
 
 @dataclass(frozen=True)
 class Profile:
-    """``values``: KEYS + ``value, n``; ``masks``: KEYS + ``mask, ndv, n, n_out, n_off, lo, hi, example``; ``limits``: the declared limits."""
+    """``values``: KEYS + ``num, txt, n``, the value in one of the two; ``masks``: KEYS + ``mask, ndv, n, n_out, n_off, lo, hi, example``; ``limits``: the declared limits."""
 
     values: DataFrame
     masks: DataFrame
@@ -42,39 +44,48 @@ def _of(table: str, column: str) -> Column:
     return (F.col("table_name") == table) & (F.col("column_name") == column)
 
 
-def profile_loads(tables: dict[str, DataFrame], limits: DataFrame, load: str = "load_no") -> Profile:
-    """Count values and masks of the limited columns of each table, per load.
+def _compact(kind: T.DataType) -> bool:
+    """Whether the values of a type are counted as 8-byte numbers: integers, and timestamps as microseconds."""
+    return isinstance(kind, T.IntegralType | T.TimestampType)
+
+
+def profile_loads(tables: dict[str, DataFrame], limits: DataFrame, load: str = "load_no", limited: bool = False) -> Profile:
+    """Count values and masks of every column of each table but the load itself, per load; with ``limited`` just those that have limits.
 
     ``limits`` holds one row per column with ``table_name, column_name, max_null_rate, min_value, max_value,
     value_pattern, max_bad_rate, min_distinct, max_shift``, NULL for no limit. It is configuration of a fixed number of
     columns and is collected. Rows of it that name a table or column not given are ignored.
 
     Rows with a NULL load form a load of their own. An empty table has no loads and gives no rows. Repeated rows count each. Columns
-    are compared by their text, so any atomic type will do; integers and other numbers are ranged by value.
-    Extra columns are never read.
+    are compared by their text, so any atomic type will do; integers and other numbers are ranged by value, timestamps by their microseconds since 1970.
     """
     known = [r for r in limits.collect() if r["table_name"] in tables and r["column_name"] in tables[r["table_name"]].columns]
     counts = []
     for name, df in tables.items():
-        columns = list(dict.fromkeys(r["column_name"] for r in known if r["table_name"] == name))
-        if columns:
-            tall = df.select(F.col(load).alias("load_no"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
-            tall = tall.unpivot(["load_no"], [f"c{i}" for i in range(len(columns))], "place", "value")
-            named = reduce(lambda acc, ic: F.when(F.col("place") == f"c{ic[0]}", F.lit(ic[1])).otherwise(acc), enumerate(columns), F.lit(None).cast("string"))
-            grouped = tall.groupBy("load_no", "place", "value").agg(F.count(F.lit(1)).alias("n"))
-            counts.append(grouped.select(F.lit(name).alias("table_name"), "load_no", named.alias("column_name"), "value", "n"))
+        columns = list(dict.fromkeys(r["column_name"] for r in known if r["table_name"] == name)) if limited else [c for c in df.columns if c != load]
+        kinds = {c: df.schema[c].dataType for c in columns}
+        for compact in (True, False):
+            own = [c for c in columns if _compact(kinds[c]) == compact]
+            if own:
+                plain = [(F.unix_micros(c) if isinstance(kinds[c], T.TimestampType) else F.col(c)).cast("bigint" if compact else "string") for c in own]
+                tall = df.select(F.col(load).alias("load_no"), *[v.alias(f"c{i}") for i, v in enumerate(plain)]).unpivot(["load_no"], [f"c{i}" for i in range(len(own))], "place", "value")
+                named = reduce(lambda acc, ic: F.when(F.col("place") == f"c{ic[0]}", F.lit(ic[1])).otherwise(acc), enumerate(own), F.lit(None).cast("string"))
+                grouped = tall.groupBy("load_no", "place", "value").agg(F.count(F.lit(1)).alias("n"))
+                sides = (F.col("value"), F.lit(None).cast("string")) if compact else (F.lit(None).cast("bigint"), F.col("value"))
+                counts.append(grouped.select(F.lit(name).alias("table_name"), "load_no", named.alias("column_name"), sides[0].alias("num"), sides[1].alias("txt"), "n"))
     if not counts:
         raise ValueError("no limited column is present in the tables")
     values = cut(reduce(DataFrame.unionByName, counts))
 
-    number, mask, out, off = F.lit(None).cast("decimal(38,6)"), mask_of(F.col("value")), F.lit(False), F.lit(False)
+    times = reduce(lambda a, b: a | b, [_of(t, c) for t, df in tables.items() for c in df.columns if isinstance(df.schema[c].dataType, T.TimestampType)], F.lit(False))
+    text = F.coalesce("txt", F.when(times, F.timestamp_micros("num").cast("string")).otherwise(F.col("num").cast("string")))
+    # What ``mask_of`` makes of integers, and of timestamps whose year has four digits.
+    of_time = F.when(F.col("num").between(*FOUR_DIGITS), F.when(F.col("num") % 1_000_000 == 0, "9-9-9_9:9:9").otherwise("9-9-9_9:9:9.9")).otherwise(mask_of(F.col("value")))
+    mask = F.when(F.col("num").isNull(), mask_of(F.col("value"))).when(times, of_time).when(F.col("num") < 0, "-9").otherwise("9")
+    number, out, off = F.col("num").cast("decimal(38,6)"), F.lit(False), F.lit(False)
     for r in known:
         here, kind = _of(r["table_name"], r["column_name"]), tables[r["table_name"]].schema[r["column_name"]].dataType
         if isinstance(kind, T.NumericType):
-            exact = "bigint" if isinstance(kind, T.IntegralType) else "decimal(38,6)"
-            number = F.when(here, F.col("value").try_cast(exact).cast("decimal(38,6)")).otherwise(number)
-            if isinstance(kind, T.IntegralType):
-                mask = F.when(here, F.when(F.startswith(F.col("value"), F.lit("-")), "-9").when(F.col("value").isNotNull(), "9")).otherwise(mask)
             low, high = r["min_value"], r["max_value"]
             beyond = reduce(lambda a, b: a | b, [F.col("number") < low] * (low is not None) + [F.col("number") > high] * (high is not None), F.lit(False))
             # A value too large for the number type lies outside any range; without a limit nothing does.
@@ -82,7 +93,11 @@ def profile_loads(tables: dict[str, DataFrame], limits: DataFrame, load: str = "
             out = F.when(here, F.coalesce(beyond, F.lit(False)) | lost).otherwise(out)
         if r["value_pattern"] is not None:
             off = F.when(here, ~F.col("value").rlike(rf"\A(?:{r['value_pattern']})\z")).otherwise(off)
-    judged = values.withColumns({"number": number, "mask": mask}).withColumns({"out": out, "off": F.coalesce(off, F.lit(False))})
+    for name, df in tables.items():
+        for c in df.columns:
+            if isinstance(df.schema[c].dataType, T.NumericType) and not _compact(df.schema[c].dataType):
+                number = F.when(_of(name, c), F.col("txt").try_cast("decimal(38,6)")).otherwise(number)
+    judged = values.withColumn("value", text).withColumns({"number": number, "mask": mask}).withColumns({"out": out, "off": F.coalesce(off, F.lit(False))})
     masks = judged.groupBy(*KEYS, "mask").agg(
         F.count("value").alias("ndv"),
         F.sum("n").alias("n"),
@@ -109,27 +124,36 @@ def _totals(profile: Profile) -> DataFrame:
     )
 
 
-def _shift(counts: DataFrame, what: str, totals: DataFrame) -> DataFrame:
+def _shift(counts: DataFrame, what: list[str], totals: DataFrame) -> DataFrame:
     """Half the summed difference between the shares of each ``what`` in a load and in the load before, where both have values.
 
     Each count is sent to its own load and to the next, where one aggregation brings both together: no
-    self-join, and the counts combine before the shuffle.
+    self-join, and the counts combine before the shuffle. Numbers outside the range of the other load cannot occur in it, so their shares
+    are added up without being sent: unique columns, whose loads mostly follow each other, cost next to nothing here.
     """
-    n = counts.where(F.col(what).isNotNull())
-    own = n.select(*KEYS, what, F.col("n").alias("now"), F.lit(0).cast("bigint").alias("was"))
-    later = n.select("table_name", (F.col("load_no") + 1).alias("load_no"), "column_name", what, F.lit(0).cast("bigint").alias("now"), F.col("n").alias("was"))
-    sides = own.unionByName(later).groupBy(*KEYS, what).agg(F.sum("now").alias("now"), F.sum("was").alias("was"))
-    filled = totals.where(F.col("row_count") > F.col("null_count")).select(*KEYS, (F.col("row_count") - F.col("null_count")).alias("size"))
-    before = filled.select("table_name", (F.col("load_no") + 1).alias("load_no"), "column_name", F.col("size").alias("size_was"))
-    both = filled.join(before, KEYS)
-    return sides.join(both, KEYS).groupBy(*KEYS).agg((F.sum(F.abs(F.col("now") / F.col("size") - F.col("was") / F.col("size_was"))) / 2).alias("shift"))
+    n = counts.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in what]))
+    filled = totals.where(F.col("row_count") > F.col("null_count")).select(*KEYS, (F.col("row_count") - F.col("null_count")).alias("size"), F.col("lo").cast("bigint").alias("least"), F.col("hi").cast("bigint").alias("most"))
+    zero = F.lit(0).cast("bigint")
+    if "num" in what:
+        before, after = (filled.select("table_name", (F.col("load_no") + step).alias("load_no"), "column_name", "least", "most") for step in (1, -1))
+        shared = F.coalesce(F.col("num").between(F.col("least"), F.col("most")), F.lit(True))
+        was_there, is_there = n.join(before, KEYS).where(shared), n.join(after, KEYS).where(shared)
+    else:
+        was_there = is_there = n
+    own = was_there.select(*KEYS, *what, F.col("n").alias("now"), zero.alias("was"))
+    later = is_there.select("table_name", (F.col("load_no") + 1).alias("load_no"), "column_name", *what, zero.alias("now"), F.col("n").alias("was"))
+    sides = own.unionByName(later).groupBy(*KEYS, *what).agg(F.sum("now").alias("now"), F.sum("was").alias("was"))
+    both = filled.join(filled.select("table_name", (F.col("load_no") + 1).alias("load_no"), "column_name", F.col("size").alias("size_was")), KEYS).drop("least", "most")
+    met = sides.join(both.select(*KEYS, "size", "size_was"), KEYS).groupBy(*KEYS).agg(F.sum(F.abs(F.col("now") / F.col("size") - F.col("was") / F.col("size_was"))).alias("moved"), F.sum("now").alias("now"), F.sum("was").alias("was"))
+    apart = (F.col("size") - F.coalesce("now", zero)) / F.col("size") + (F.col("size_was") - F.coalesce("was", zero)) / F.col("size_was")
+    return both.join(met, KEYS, "left").select(*KEYS, ((F.coalesce("moved", F.lit(0.0)) + apart) / 2).alias("shift"))
 
 
 def describe(profile: Profile) -> DataFrame:
     """The profile of each column of each load: rows, NULLs, distinct values, range, shift of values and of masks against the load before."""
     totals = cut(_totals(profile))
-    shift = _shift(profile.values, "value", totals)
-    masks = _shift(profile.masks, "mask", totals).withColumnRenamed("shift", "mask_shift")
+    shift = _shift(profile.values, ["num", "txt"], totals)
+    masks = _shift(profile.masks, ["mask"], totals).withColumnRenamed("shift", "mask_shift")
     return totals.join(shift, KEYS, "left").join(masks, KEYS, "left").select(
         *KEYS, "row_count", "null_count", "ndv", F.col("lo").cast("bigint").alias("min_value"), F.col("hi").cast("bigint").alias("max_value"), F.round("shift", 9).alias("shift"), F.round("mask_shift", 9).alias("mask_shift")
     )
@@ -174,7 +198,7 @@ def broken_limits(profile: Profile, stats: DataFrame) -> DataFrame:
     if bounded:
         wanted = reduce(lambda a, b: a | b, [_of(r["table_name"], r["column_name"]) for r in bounded])
         most = reduce(lambda acc, r: F.when(_of(r["table_name"], r["column_name"]), F.lit(r["max_shift"])).otherwise(acc), bounded, F.lit(None).cast("double"))
-        moved = _shift(profile.values.where(wanted), "value", totals.where(wanted))
+        moved = _shift(profile.values.where(wanted), ["num", "txt"], totals.where(wanted))
         found.append(moved.where(F.col("shift") > most).select(*KEYS, F.lit("shift").alias("check_name")))
     loads = totals.groupBy("table_name", "load_no").agg(F.max("row_count").alias("true_rows"))
     stats = stats.select(*KEYS, "region", "year", "sku", "row_count")

@@ -59,9 +59,9 @@ def p2_by_month(spark: SparkSession, d: str) -> DataFrame:
     return rf.broken_by_month(_broken(spark, d))
 
 
-def _profile(spark: SparkSession, d: str) -> cp.Profile:
+def _profile(spark: SparkSession, d: str, limited: bool = True) -> cp.Profile:
     tables = {name: table(spark, d, name) for name in ("shop_orders", "shop_lineitem")}
-    return cp.profile_loads(tables, table(spark, d, "column_limits"), load="load_no")
+    return cp.profile_loads(tables, table(spark, d, "column_limits"), load="load_no", limited=limited)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,14 +69,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The limited columns only, which are those of its SQL; ``p5_profile_all`` has every column."""
     return cp.describe(_profile(spark, d))
 
 
 def p5_rare_masks(spark: SparkSession, d: str) -> DataFrame:
+    """The limited columns only, which are those of its SQL; ``p5_rare_masks_all`` has every column."""
     return cp.rare_masks(_profile(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orders, p1_lineitem, p2_found, p2_by_month, p5_found, p5_profile, p5_rare_masks)}
+def p5_profile_all(spark: SparkSession, d: str) -> DataFrame:
+    return cp.describe(_profile(spark, d, limited=False))
+
+
+def p5_rare_masks_all(spark: SparkSession, d: str) -> DataFrame:
+    return cp.rare_masks(_profile(spark, d, limited=False))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_orders, p1_lineitem, p2_found, p2_by_month, p5_found, p5_profile, p5_rare_masks, p5_profile_all, p5_rare_masks_all)}
 
 _CELL = """'("(?:[^"]|"")*"|[^"' || q || ']*)'"""
 _RECORDS = f"""
@@ -121,6 +131,28 @@ mask_shift AS (SELECT m.table_name, m.column_name, m.load_no, sum(abs(d)) / 2 AS
   WHERE a.ndv > 0 AND b.ndv > 0 GROUP BY ALL)
 """
 )
+_ALL = {"shop_orders": ("row_id", "id", "customer_id", "region", "year", "ordered_at", "loaded_at"), "shop_lineitem": ("line_id", "order_id", "sku", "revenue", "loaded_at")}
+_ALL_MASKS = (
+    "WITH v AS MATERIALIZED ("
+    + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, load_no, {f"CAST({c} AT TIME ZONE 'UTC' AS VARCHAR)" if c.endswith('_at') else f'CAST({c} AS VARCHAR)'} AS value, {'NULL' if c in ('region', 'sku') else f'epoch_us({c})' if c.endswith('_at') else c} AS num, count(*) AS n FROM {t} GROUP BY load_no, {c}"
+        for t, cs in _ALL.items()
+        for c in cs
+    )
+    + r"""), prof AS (SELECT table_name, column_name, load_no, CAST(sum(n) AS BIGINT) AS row_count, CAST(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) AS null_count, count(value) AS ndv, min(num) AS lo, max(num) AS hi FROM v GROUP BY ALL),
+masks AS (SELECT table_name, column_name, load_no, mask, CAST(sum(n) AS BIGINT) AS n, min(value) AS example FROM (SELECT *,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '\p{Lu}+', 'A', 'g'), '\p{Ll}+', 'a', 'g'), '\p{Nd}+', '9', 'g'), '\s+', '_', 'g') AS mask FROM v WHERE value IS NOT NULL) GROUP BY ALL),
+pairs AS (SELECT a.table_name, a.column_name, a.load_no, a.row_count - a.null_count AS size, b.row_count - b.null_count AS size_was FROM prof a JOIN prof b ON b.table_name = a.table_name AND b.column_name = a.column_name AND b.load_no = a.load_no - 1 WHERE a.ndv > 0 AND b.ndv > 0)
+"""
+)
+
+
+def _moved(what: str, counts: str) -> str:
+    """SQL of a shift per load: 1 less what a load and the one before have in common."""
+    return f"""(SELECT p.table_name, p.column_name, p.load_no, 1 - coalesce(common, 0) AS shift FROM pairs p LEFT JOIN (SELECT p.table_name, p.column_name, p.load_no, sum(least(a.n / p.size, b.n / p.size_was)) AS common
+  FROM pairs p JOIN {counts} a USING (table_name, column_name, load_no) JOIN {counts} b ON b.table_name = a.table_name AND b.column_name = a.column_name AND b.load_no = a.load_no - 1 AND b.{what} = a.{what} GROUP BY ALL) c USING (table_name, column_name, load_no))"""
+
+
 ORACLE = {
     "p1_found": _RECORDS + "SELECT record_id, reason FROM judged WHERE reason IS NOT NULL",
     "p1_orders": _RECORDS + "SELECT record_id, i_id AS id, i_customer_id AS customer_id, s_region AS region, i_year AS year FROM judged WHERE reason IS NULL AND target_name = 'orders'",
@@ -144,5 +176,11 @@ LEFT JOIN (SELECT table_name, column_name, load_no, min(CASE WHEN column_name NO
 LEFT JOIN shift s USING (table_name, column_name, load_no) LEFT JOIN mask_shift x USING (table_name, column_name, load_no)""",
     "p5_rare_masks": _MASKS
     + """, overall AS (SELECT table_name, column_name, mask, k / sum(k) OVER (PARTITION BY table_name, column_name) AS share FROM (SELECT table_name, column_name, mask, sum(n) AS k FROM masks GROUP BY ALL))
+SELECT m.table_name, m.load_no, m.column_name, m.mask, m.n, m.example, round(share, 9) AS share FROM masks m JOIN overall USING (table_name, column_name, mask) WHERE share < 0.01""",
+    "p5_profile_all": _ALL_MASKS
+    + f"""SELECT p.table_name, p.load_no, p.column_name, row_count, null_count, ndv, lo AS min_value, hi AS max_value, round(s.shift, 9) AS shift, round(x.shift, 9) AS mask_shift FROM prof p
+LEFT JOIN {_moved("value", "v")} s USING (table_name, column_name, load_no) LEFT JOIN {_moved("mask", "masks")} x USING (table_name, column_name, load_no)""",
+    "p5_rare_masks_all": _ALL_MASKS
+    + """, overall AS (SELECT table_name, column_name, mask, k / sum(k) OVER (PARTITION BY table_name, column_name) AS share FROM (SELECT table_name, column_name, mask, sum(n) AS k FROM masks GROUP BY ALL))
 SELECT m.table_name, m.load_no, m.column_name, m.mask, m.n, m.example, round(share, 9) AS share FROM masks m JOIN overall USING (table_name, column_name, mask) WHERE share < 0.01""",
 }
