@@ -259,3 +259,13 @@ def test_profile_of_every_column(spark):
     assert {r.column_name for r in describe(profile_loads({"t": df}, limits, limited=True)).collect()} == {"txt"}
     few = {(r.column_name, r.mask, r.example) for r in rare_masks(profile_loads({"t": df}, limits), 0.3).collect()}
     assert few == {("at", "9-9-9_9:9:9.9", "1999-12-31 23:59:59.5")}
+
+
+def test_row_counts_need_no_limits(spark):
+    tables = {"t": spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "load_no long, num long"), "u": spark.createDataFrame([(1, 5)], "load_no long, num long")}
+    stats = spark.createDataFrame([("t", "num", 1, None, None, None, 2), ("t", "num", 2, None, None, None, 9), ("u", "num", 1, None, None, None, 3), ("u", "num", 7, None, None, None, 0)], STATS)
+    wrong = {("t", 2, "num", "row_count"), ("u", 1, "num", "row_count")}
+    for limits in ([], [("t", "num", 0.5, None, None, None, None, None, None)]):
+        p = profile_loads(tables, spark.createDataFrame(limits, LIMITS), limited=True)
+        assert {tuple(r) for r in broken_limits(p, stats).collect()} == wrong
+    assert describe(profile_loads(tables, spark.createDataFrame([], LIMITS), limited=True)).count() == 0

@@ -25,11 +25,14 @@ FOUR_DIGITS = (-30_607_372_800_000_000, 253_370_764_800_000_000)
 
 @dataclass(frozen=True)
 class Profile:
-    """``values``: KEYS + ``num, txt, n``, the value in one of the two; ``masks``: KEYS + ``mask, ndv, n, n_out, n_off, lo, hi, example``; ``limits``: the declared limits."""
+    """``values``: KEYS + ``num, txt, n``, the value in one of the two; ``masks``: KEYS + ``mask, ndv, n, n_out, n_off, lo, hi, example``; ``limits``: the declared limits;
+    ``bare``: ``table_name, load_no, true_rows`` of the tables without a profiled column; ``tables``: the names of all."""
 
     values: DataFrame
     masks: DataFrame
     limits: list[Row]
+    bare: DataFrame
+    tables: list[str]
 
 
 def mask_of(value: Column) -> Column:
@@ -60,10 +63,12 @@ def profile_loads(tables: dict[str, DataFrame], limits: DataFrame, load: str = "
     are compared by their text, so any atomic type will do; integers and other numbers are ranged by value, timestamps by their microseconds since 1970.
     """
     known = [r for r in limits.collect() if r["table_name"] in tables and r["column_name"] in tables[r["table_name"]].columns]
-    counts = []
+    counts, bare = [], []
     for name, df in tables.items():
         columns = list(dict.fromkeys(r["column_name"] for r in known if r["table_name"] == name)) if limited else [c for c in df.columns if c != load]
         kinds = {c: df.schema[c].dataType for c in columns}
+        if not columns:
+            bare.append(df.groupBy(F.col(load).alias("load_no")).agg(F.count(F.lit(1)).alias("true_rows")).select(F.lit(name).alias("table_name"), "load_no", "true_rows"))
         for compact in (True, False):
             own = [c for c in columns if _compact(kinds[c]) == compact]
             if own:
@@ -73,9 +78,8 @@ def profile_loads(tables: dict[str, DataFrame], limits: DataFrame, load: str = "
                 grouped = tall.groupBy("load_no", "place", "value").agg(F.count(F.lit(1)).alias("n"))
                 sides = (F.col("value"), F.lit(None).cast("string")) if compact else (F.lit(None).cast("bigint"), F.col("value"))
                 counts.append(grouped.select(F.lit(name).alias("table_name"), "load_no", named.alias("column_name"), sides[0].alias("num"), sides[1].alias("txt"), "n"))
-    if not counts:
-        raise ValueError("no limited column is present in the tables")
-    values = cut(reduce(DataFrame.unionByName, counts))
+    spark = limits.sparkSession
+    values = cut(reduce(DataFrame.unionByName, counts)) if counts else spark.createDataFrame([], "table_name string, load_no bigint, column_name string, num bigint, txt string, n bigint")
 
     times = reduce(lambda a, b: a | b, [_of(t, c) for t, df in tables.items() for c in df.columns if isinstance(df.schema[c].dataType, T.TimestampType)], F.lit(False))
     text = F.coalesce("txt", F.when(times, F.timestamp_micros("num").cast("string")).otherwise(F.col("num").cast("string")))
@@ -107,7 +111,8 @@ def profile_loads(tables: dict[str, DataFrame], limits: DataFrame, load: str = "
         F.max("number").alias("hi"),
         F.min("value").alias("example"),
     )
-    return Profile(values, cut(masks), known)
+    rows = reduce(DataFrame.unionByName, bare) if bare else spark.createDataFrame([], "table_name string, load_no bigint, true_rows bigint")
+    return Profile(values, cut(masks), known, rows, list(tables))
 
 
 def _totals(profile: Profile) -> DataFrame:
@@ -175,7 +180,7 @@ def broken_limits(profile: Profile, stats: DataFrame) -> DataFrame:
     """(table_name, load_no, column_name, check_name) of each limit a load breaks, and of each wrong recorded row count.
 
     ``stats``: recorded ``table_name, column_name, load_no, region, year, sku, row_count``; only unrestricted
-    records of profiled tables are held against the load's rows; a load that is not there has 0 rows; a NULL count is no case.
+    records of the given tables, with limits or without, are held against the load's rows; a load that is not there has 0 rows; a NULL count is no case.
     """
     totals = cut(_totals(profile))
     filled = F.col("row_count") - F.col("null_count")
@@ -200,9 +205,9 @@ def broken_limits(profile: Profile, stats: DataFrame) -> DataFrame:
         most = reduce(lambda acc, r: F.when(_of(r["table_name"], r["column_name"]), F.lit(r["max_shift"])).otherwise(acc), bounded, F.lit(None).cast("double"))
         moved = _shift(profile.values.where(wanted), ["num", "txt"], totals.where(wanted))
         found.append(moved.where(F.col("shift") > most).select(*KEYS, F.lit("shift").alias("check_name")))
-    loads = totals.groupBy("table_name", "load_no").agg(F.max("row_count").alias("true_rows"))
+    loads = totals.groupBy("table_name", "load_no").agg(F.max("row_count").alias("true_rows")).unionByName(profile.bare)
     stats = stats.select(*KEYS, "region", "year", "sku", "row_count")
-    whole = stats.where(F.col("region").isNull() & F.col("year").isNull() & F.col("sku").isNull() & F.col("table_name").isin(sorted({r["table_name"] for r in profile.limits})))
+    whole = stats.where(F.col("region").isNull() & F.col("year").isNull() & F.col("sku").isNull() & F.col("table_name").isin(sorted(profile.tables)))
     held = whole.join(loads, ["table_name", "load_no"], "left").where(F.col("row_count") != F.coalesce("true_rows", F.lit(0)))
     found.append(held.select(*KEYS, F.lit("row_count").alias("check_name")).distinct())
     return reduce(DataFrame.unionByName, found).select("table_name", "load_no", "column_name", "check_name")
