@@ -101,6 +101,14 @@ def test_documents_of_every_kind(spark):
     assert tr.truncated(df.limit(0)).count() == 0 and tr.rates(tr.truncated(df.limit(0))).count() == 0
 
 
+def test_headers_of_a_source_with_wide_surplus(spark):
+    """Pages with 0 to 900 bytes around the text: one that promises more than any whole text needs is missing its rest, one within the range is not known."""
+    rows = [(i, f"It is text number {i} of this source. It ends here.", "wide", 200 + 9 * i) for i in range(101)]
+    rows += [(200, "It is one more text here. It is torn off in the middle of", "wide", 1500), (201, "It is one more text here. It may be torn off in the", "wide", 700)]
+    df = spark.createDataFrame([(i, t, s, f"Content-Length: {n}", None, "x", "y") for i, t, s, n in rows], SCHEMA)
+    assert {r.doc_id: r.cause for r in tr.truncated(df).collect() if r.cause} == {200: "promised"}
+
+
 def test_accuracy_without_pages(spark):
     """Judge documents of a known page with the page held back, against what the page says."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

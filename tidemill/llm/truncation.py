@@ -30,7 +30,7 @@ PILE, TOP_PILE, STEEP, AROUND, UNENDED = 8, 3, 10.0, 100, 0.6
 #: Limits that cut back to a word leave most lengths in a stretch below the limit, of about two words, and a few in the next word's length.
 STRETCH, FEW = 12, 5
 #: Bytes the headers may promise beyond what they do for the source's whole texts before the rest counts as missing: for any end, and for
-#: one midway in a sentence. In a source whose headers spread wider than the last of these they say nothing.
+#: one midway in a sentence: beyond the median of the whole texts, or, in a source whose headers spread wider than the last of these, beyond all but 1 % of them.
 LOOSE, TIGHT, SPREAD = 320, 60, 150
 #: Size of a page's frame, and of the markup of a line, that a text doesn't show.
 FRAME, LINE = 134, 10
@@ -251,7 +251,7 @@ def truncated(docs: DataFrame) -> DataFrame:
         rate(torn | (F.col("page") == "broken")).alias("torn_rate"),
         rate(F.col("cause") == "space").alias("space_rate"),
         rate(F.col("cause") == "open").alias("open_rate"),
-        F.percentile_approx(F.when(F.col("ends") == "sentence", missing), [0.5, 0.9]).alias("promises"),
+        F.percentile_approx(F.when(F.col("ends") == "sentence", missing), [0.5, 0.9, 0.99]).alias("promises"),
     )
     salted = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
     baseline = baseline.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
@@ -263,6 +263,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     limit = (exact & (F.col("ends") == "ellipsis")) | ((F.col("at_chars").isNotNull() | F.col("at_bytes").isNotNull()) & unended)
     steady = F.get("promises", F.lit(1)) - F.get("promises", F.lit(0)) < SPREAD
     beyond = F.when(steady, missing - F.get("promises", F.lit(0)))
+    past = F.when(~steady, missing - F.get("promises", F.lit(2)))
     cause = (
         F.when(F.col("page").isin("goes_on", "broken") & (unended | limit), F.col("page"))
         .when(F.col("page") == "whole", None)
@@ -270,8 +271,8 @@ def truncated(docs: DataFrame) -> DataFrame:
         .when(torn, F.col("cause"))
         .when((F.col("cause") == "open") & (F.coalesce("open_rate", F.lit(0.0)) < 0.2), F.col("cause"))
         .when((F.col("cause") == "space") & (F.coalesce("space_rate", F.lit(0.0)) < 0.2), F.col("cause"))
-        .when(unended & (beyond > LOOSE), F.lit("promised"))
-        .when((F.col("ends") == "midway") & (beyond > TIGHT), F.lit("promised"))
+        .when(unended & (F.coalesce(beyond, past) > LOOSE), F.lit("promised"))
+        .when((F.col("ends") == "midway") & (F.coalesce(beyond, past) > TIGHT), F.lit("promised"))
         .when((F.col("ends") == "midway") & beyond.isNull() & (F.col("torn_rate") > F.col("midway_rate") / 2), F.lit("midway"))
     )
     return joined.select("doc_id", "source", cause.isNotNull().alias("truncated"), cause.alias("cause"))
