@@ -93,6 +93,19 @@ def test_limits_are_found(spark):
     assert rates["free"].n_truncated == 0 and rates["cut"].n == 300 and rates["cut"].rate == rates["cut"].n_truncated / 300
 
 
+def test_short_limits_are_found(spark):
+    """Limits below 100 characters, and texts a little above it that end alike but are not the same."""
+    rng = random.Random(3)
+    whole = [prose(rng, rng.randrange(40, 400)).rstrip() for _ in range(400)]
+    rows = [(i, t[: (64, 110)[i % 2]], ("short", "mid")[i % 2], None, None, "x", "y") for i, t in enumerate(whole)]
+    rows += [(1000 + i, f"{prose(rng, 96)[:96]} and so on", "alike", None, None, "x", "y") for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = tr.features(df)
+    assert seen.where("source = 'alike'").select("same").distinct().count() == 30
+    limits = {(r.source, r.length) for r in tr.limits(seen).where("exact AND unit = 'chars'").collect()}
+    assert {("short", 64), ("mid", 110)} <= limits
+
+
 def test_documents_of_every_kind(spark):
     rows = [(1, None, "a", None, None), (2, "", "a", "x", b"y"), (3, "lost (in", None, None, None), (3, "lost (in", None, None, None), (4, "fine.", None, None, b""), (5, "x" * 2_000_000, "a", None, b"\xff\xfe"), (6, "cut at a <im", "a", "Content-Length: 99999999999999999999", None), (7, "\n", "b", None, None), (8, "fine.", "b", None, None)] + [(100 + i, "fine.", "b", None, None) for i in range(9)]
     df = spark.createDataFrame([(*r, "c", "s") for r in rows], SCHEMA)

@@ -188,7 +188,7 @@ def features(docs: DataFrame) -> DataFrame:
             rows = [examine(t, None if p is None else bytes(p), h) for t, p, h in zip(batch["text"], batch["page"], batch["headers"])]
             yield pd.DataFrame(rows, columns=columns).astype({"promised": "Int64"})
 
-    given = docs.where(F.length("text") > 0).select("doc_id", "source", F.xxhash64(F.substring(F.col("text"), F.length("text") - 120, 60)).alias("same"), F.struct("text", F.col("raw_bytes").alias("page"), "headers").alias("d"))
+    given = docs.where(F.length("text") > 0).select("doc_id", "source", F.xxhash64(F.when(F.length("text") <= 120, F.col("text")).otherwise(F.substring(F.col("text"), F.length("text") - 120, 60))).alias("same"), F.struct("text", F.col("raw_bytes").alias("page"), "headers").alias("d"))
     return given.withColumn("f", run("d")).select("doc_id", "source", "same", "f.*")
 
 
@@ -206,14 +206,15 @@ def limits(seen: DataFrame) -> DataFrame:
     counts = once.groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("unended").cast("bigint")).alias("n_unended"))
     of = Window.partitionBy("source", "unit").orderBy("length")
     near = lambda a, b, what="n": F.coalesce(F.sum(what).over(of.rangeBetween(a, b)), F.lit(0))
-    wide = counts.where(F.col("length") >= AROUND).withColumns({
+    wide = counts.withColumns({
         "below": near(-AROUND, -4), "above": near(4, AROUND), "longer": F.coalesce(F.sum("n").over(of.rangeBetween(4, Window.unboundedFollowing)), F.lit(0)),
         "stretch": near(-(STRETCH - 1), 0), "stretch_unended": near(-(STRETCH - 1), 0, "n_unended"), "under": near(-AROUND - STRETCH, -STRETCH), "over": near(1, AROUND),
     })
-    around = (F.col("below") + F.col("above")) / F.lit(2.0 * AROUND)
+    # Below a short length there are fewer lengths than AROUND.
+    around = (F.col("below") + F.col("above")) / (AROUND + F.least(F.col("length"), F.lit(AROUND)))
     enough = F.when(F.col("longer") == 0, TOP_PILE).otherwise(PILE)
     spike = (F.col("n") >= enough) & (F.col("n") > STEEP * F.greatest(around, F.lit(0.05))) & (F.col("n_unended") >= UNENDED * F.col("n"))
-    trimmed = (F.col("stretch") >= 2 * PILE) & (F.col("stretch") / STRETCH > STEEP * F.greatest(F.col("under") / float(AROUND), F.lit(0.05))) & (F.col("over") * 20 <= F.col("stretch")) & (F.col("stretch_unended") >= UNENDED * F.col("stretch"))
+    trimmed = (F.col("stretch") >= 2 * PILE) & (F.col("stretch") / STRETCH > STEEP * F.greatest(F.col("under") / F.greatest(F.least(F.col("length") - STRETCH, F.lit(AROUND)), F.lit(1)), F.lit(0.05))) & (F.col("over") * 20 <= F.col("stretch")) & (F.col("stretch_unended") >= UNENDED * F.col("stretch"))
     exact = wide.where(spike).select("source", "unit", F.explode(F.array(*[F.struct((F.col("length") + i).alias("length"), F.lit(i == 0).alias("exact")) for i in range(-3, 4)])).alias("l"))
     back = wide.where(trimmed & ~spike).select("source", "unit", F.explode(F.array(*[F.struct((F.col("length") - i).alias("length"), F.lit(False).alias("exact")) for i in range(STRETCH + FEW)])).alias("l"))
     marks = cut(exact.unionByName(back).groupBy("source", "unit", "l.length").agg(F.max("l.exact").alias("exact")))
