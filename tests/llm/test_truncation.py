@@ -55,6 +55,11 @@ def test_examine():
     assert tr.examine("More to come...", None, None)[3] == "ellipsis" and tr.examine("x" * 3_000_000 + " (", None, None)[4] == "open"
 
 
+def test_midway_without_spaces():
+    assert tr.examine("今日は雨が降っています。明日は山へ", None, None)[3:5] == ("midway", None) and tr.examine("今日は雨が降っています。明日は晴れます。", None, None)[3] == "sentence"
+    assert tr.examine("雨。山", None, None)[3] == tr.examine("日本語の見出し", None, None)[3] == "line"
+
+
 SCHEMA = "doc_id long, text string, source string, headers string, raw_bytes binary, cause string, s string"
 
 

@@ -45,6 +45,8 @@ _STRUCTURE = re.compile(r"[()\[\]{}“”„«»\n]|<(?=[a-zA-Z/!?])[^<>\n]*>?|<
 _SENTENCE_END = re.compile(r"[.!?。！？][\"'”’»)\]）」]*\Z")
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.)\Z")
 _INSIDE = re.compile(r"[.!?。！？][\"'”’»)\]）」]* ?\S")
+#: Letters of scripts written without spaces, of which about two make a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _ENTITY = re.compile(r"&(#x?[0-9a-fA-F]*|[A-Za-z][A-Za-z0-9]*)?\Z")
 _ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{0,3}|(?:%[0-9a-fA-F]{2})+%[0-9a-fA-F]?)\Z")
 _LENGTH = re.compile(r"^content-length:\s*(\d{1,18})\s*$", re.I | re.M)
@@ -159,7 +161,7 @@ def examine(text: str, page: bytes | None, headers: str | None) -> tuple:
         ends = "ellipsis"
     elif _SENTENCE_END.search(bare):
         ends = "sentence"
-    elif _INSIDE.search(last) and not re.match(r"\W*(?:https?://|©|\d+[.)] )|[-*•·#] ", last) and " | " not in last and last.count(" ") >= 3:
+    elif _INSIDE.search(last) and not re.match(r"\W*(?:https?://|©|\d+[.)] )|[-*•·#] ", last) and " | " not in last and last.count(" ") + len(_UNSPACED.findall(last)) // 2 >= 3:
         ends = "midway"
     else:
         ends = "line"
