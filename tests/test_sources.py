@@ -152,6 +152,12 @@ def test_statistics_skip_nulls_and_unneeded_tables(spark, star):
     assert two.stats == {}
 
 
+def test_statistics_of_a_large_table_are_exact(spark):
+    catalog = Catalog(spark)
+    table = catalog.register_frame("t", spark.range(150_000).selectExpr("id AS a", "IF(id % 2 = 0, id % 7001, NULL) AS b"))
+    assert table_stats(catalog, table, {"a", "b"}) == TableStats(150_000, {"a": 150_000, "b": 7001})
+
+
 def find(plan, start):
     return next((n for n in flat(plan) if n.label.startswith(start)), None)
 

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from tidemill.sources.catalog import Catalog, Table
 
-#: Up to this many rows distinct values are counted exactly, above it by a sketch of bounded size.
-EXACT_ROWS = 100_000
-SKETCH_ERROR = 0.05
-
 
 @dataclass
 class TableStats:
@@ -29,16 +25,14 @@ class TableStats:
 def table_stats(catalog: Catalog, table: Table, columns: set[str]) -> TableStats:
     """Statistics of a table, with the distinct counts of ``columns``; kept until the name is registered anew.
 
-    One pass over just those columns gives the rows and sketched counts; a small table is counted exactly by another.
+    One pass over just those columns counts both exactly, whatever the size of the table.
     """
     known = catalog.stats.get(table.name)
     stats = known[1] if known is not None and known[0] is table else TableStats(-1)
     wanted = {c: F.col(f"c{i}") for i, c in reversed(list(enumerate(table.columns))) if c in columns and c not in stats.ndv}
     if stats.row_count < 0 or wanted:
-        row = table.frame.agg(F.count(F.lit(1)), *[F.approx_count_distinct(c, SKETCH_ERROR) for c in wanted.values()]).first()
+        row = table.frame.agg(F.count(F.lit(1)), *[F.count_distinct(c) for c in wanted.values()]).first()
         stats.row_count = row[0]
-        if wanted and stats.row_count <= EXACT_ROWS:
-            row = (row[0], *table.frame.agg(*[F.count_distinct(c) for c in wanted.values()]).first())
         stats.ndv.update(zip(wanted, row[1:]))
         catalog.stats[table.name] = (table, stats)
     return stats
