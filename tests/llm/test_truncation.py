@@ -60,6 +60,10 @@ def test_midway_without_spaces():
     assert tr.examine("雨。山", None, None)[3] == tr.examine("日本語の見出し", None, None)[3] == "line"
 
 
+def test_corner_quotes():
+    assert [tr.open_at_end(t)[0] for t in ("彼は「今日は『雨』だ」と言った", "彼は「今日は『雨", "彼は「今日は『雨』だ")] == ["", "「『", "「"]
+
+
 SCHEMA = "doc_id long, text string, source string, headers string, raw_bytes binary, cause string, s string"
 
 

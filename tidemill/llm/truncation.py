@@ -39,9 +39,9 @@ NO_SOURCE = "\0"
 
 FEATURES = "n_chars long, n_bytes long, n_lines long, ends string, cause string, page string, promised long, zipped boolean"
 
-_CLOSERS = {")": "(", "]": "[", "}": "{", "”": "“„", "»": "«", "“": "„"}
-_OPENERS = set("([{“„«")
-_STRUCTURE = re.compile(r"[()\[\]{}“”„«»\n]|<(?=[a-zA-Z/!?])[^<>\n]*>?|<\Z")
+_CLOSERS = {")": "(", "]": "[", "}": "{", "”": "“„", "»": "«", "“": "„", "」": "「", "』": "『"}
+_OPENERS = set("([{“„«「『")
+_STRUCTURE = re.compile(r"[()\[\]{}“”„«»「」『』\n]|<(?=[a-zA-Z/!?])[^<>\n]*>?|<\Z")
 _SENTENCE_END = re.compile(r"[.!?。！？][\"'”’»)\]）」]*\Z")
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.)\Z")
 _INSIDE = re.compile(r"[.!?。！？][\"'”’»)\]）」]* ?\S")
