@@ -34,7 +34,7 @@ def group_codes(columns: list[pa.ChunkedArray], rows: int) -> tuple[np.ndarray,
 
 
 def combine(df: DataFrame, reduce: Reducer, keys: list[str], ordered: bool = False) -> DataFrame:
-    """Apply ``reduce`` within each partition of ``df``, whose columns are ``keys`` and the state.
+    """Apply ``reduce`` within each partition of ``df``, whose columns are ``keys`` and the state, in one row or a few.
 
     Unordered (before a shuffle), a task whose groups outgrow its memory emits what it has and goes on: a group
     may then come out in several partial states. Ordered (after a shuffle, rows sorted by ``keys``) each group comes
@@ -43,13 +43,13 @@ def combine(df: DataFrame, reduce: Reducer, keys: list[str], ordered: bool = Fal
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return stream(batches, reduce, ordered)
+        return stream(batches, reduce, keys if ordered else None)
 
     return df.mapInArrow(run, df.schema)
 
 
-def stream(batches: Iterator[pa.RecordBatch], reduce: Reducer, ordered: bool, gather: int = GATHER, keep: int = KEEP) -> Iterator[pa.RecordBatch]:
-    """One task's part of ``combine``."""
+def stream(batches: Iterator[pa.RecordBatch], reduce: Reducer, ordered: list[str] | None, gather: int = GATHER, keep: int = KEEP) -> Iterator[pa.RecordBatch]:
+    """One task's part of ``combine``; ``ordered`` are the keys the rows are sorted by, if they are."""
     held: list[pa.RecordBatch] = []
     size, state = 0, None
 
@@ -65,9 +65,9 @@ def stream(batches: Iterator[pa.RecordBatch], reduce: Reducer, ordered: bool, ga
         if size < gather:
             continue
         state, held, size = reduced(), [], 0
-        if ordered:
+        if ordered is not None:
             # reduce puts groups out in the order they first came, so only the last may go on in the next batch
-            begun = last_group(state)
+            begun = last_group(state, ordered)
             yield from state.slice(0, begun).to_batches(max_chunksize=10_000)
             state = state.slice(begun).combine_chunks()
         elif state.nbytes > keep:
@@ -78,13 +78,14 @@ def stream(batches: Iterator[pa.RecordBatch], reduce: Reducer, ordered: bool, ga
         yield from last.to_batches(max_chunksize=10_000)
 
 
-def last_group(state: pa.Table) -> int:
-    """Where the last group begins: a state has one row per group."""
-    return max(0, state.num_rows - 1)
+def last_group(state: pa.Table, keys: list[str]) -> int:
+    """Where the rows of the last group begin."""
+    codes, _ = group_codes([state[k] for k in keys], state.num_rows)
+    return int(np.searchsorted(codes, codes[-1])) if len(codes) else 0
 
 
 def merge(partials: DataFrame, reducer: Callable[[list[str]], Reducer], keys: list[str], tasks: int | None = None) -> DataFrame:
-    """One state per group from partial states, whose columns are ``keys`` and the state.
+    """One state per group, its rows together, from partial states, whose columns are ``keys`` and the state.
 
     A shuffle on the keys brings a group's states together, sorted, and they are merged as they stream by. What a group
     sends is bounded by the number of tasks times the size of a state; where ``tasks`` says there are very many, a
@@ -95,10 +96,11 @@ def merge(partials: DataFrame, reducer: Callable[[list[str]], Reducer], keys: li
         state = [c for c in partials.columns if c not in keys]
         marked = partials.withColumn("branch", F.floor(F.spark_partition_id() / BRANCH)).select(*inner, *state)
         partials = combine(marked.repartition(*inner).sortWithinPartitions(*inner), reducer(inner), inner, ordered=True).select(*keys, *state)
-    return combine(partials.repartition(*keys).sortWithinPartitions(*keys), reducer(keys), keys, ordered=True)
+    together = partials.repartition(*keys).sortWithinPartitions(*keys) if keys else partials.repartition(1)
+    return combine(together, reducer(keys), keys, ordered=True)
 
 
 def scan_tasks(df: DataFrame) -> int | None:
     """Number of tasks a plain scan has, None for anything with a shuffle in it; runs nothing."""
-    plan = df._jdf.queryExecution().executedPlan()
-    return None if "AdaptiveSparkPlan" in plan.getClass().getSimpleName() else df.rdd.getNumPartitions()
+    planned = df._jdf.queryExecution()
+    return None if "AdaptiveSparkPlan" in planned.executedPlan().getClass().getSimpleName() else planned.toRdd().getNumPartitions()
