@@ -2,13 +2,14 @@
 
 import random
 from collections import defaultdict
+from datetime import datetime
 from functools import partial
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import arrow_agg, kmv
+from tidemill.llm import arrow_agg, kmv, queries
 from tidemill.llm.arrow_agg import stream
 from tidemill.llm.topn import _best, partial_top_n, top_n
 
@@ -130,9 +131,9 @@ def test_heaps_are_small_before_the_shuffle(spark):
 def test_states_are_handed_on_when_they_grow():
     rows = [(g, s, i) for i, (g, s) in enumerate((g, s) for g in range(50) for s in range(20))]
     random.Random(1).shuffle(rows)
-    table = pa.table({"k0": [r[0] for r in rows], "score": [r[1] for r in rows], "item": [r[2] for r in rows]})
+    table = pa.table({"k0": [r[0] for r in rows], "score": [r[1] for r in rows], "item": [r[2] for r in rows], "rank": pa.array([0] * len(rows), pa.int32())})
     reduce = partial(_best, keys=["k0"], n=2)
-    small = list(stream(iter(table.to_batches(max_chunksize=37)), reduce, False, gather=1500, keep=2000))
+    small = list(stream(iter(table.to_batches(max_chunksize=37)), reduce, None, gather=1500, keep=2000))
     assert sum(b.num_rows for b in small) > 100  # partial states of one group came out several times
     whole = reduce(pa.Table.from_batches(small).combine_chunks())
     assert sorted(zip(whole["k0"].to_pylist(), whole["score"].to_pylist())) == sorted((g, s) for g in range(50) for s in (18, 19))
@@ -141,5 +142,40 @@ def test_states_are_handed_on_when_they_grow():
 def test_ordered_merge_yields_each_group_once():
     hashes = [[g * 1000 + j, g * 1000 + j + 7] for g in range(30) for j in range(40)]
     table = pa.table({"g": [g for g in range(30) for _ in range(40)], "hashes": pa.array(hashes, pa.list_(pa.int64()))})
-    out = pa.Table.from_batches(stream(iter(table.to_batches(max_chunksize=11)), partial(kmv._smallest, keys=["g"], k=5), True, gather=300))
+    out = pa.Table.from_batches(stream(iter(table.to_batches(max_chunksize=11)), partial(kmv._smallest, keys=["g"], k=5), ["g"], gather=300))
     assert out["g"].to_pylist() == list(range(30)) and out["hashes"].to_pylist() == [[g * 1000 + j for j in range(5)] for g in range(30)]
+
+
+def test_heaps_merge_in_order():
+    """Heaps of several rows a group, cut anywhere by the batches: each group comes out once, numbered."""
+    rows = sorted((g, s) for g in range(40) for s in range(g % 7 + 1))
+    table = pa.table({"k0": [r[0] for r in rows], "score": [r[1] for r in rows], "item": list(range(len(rows))), "rank": pa.array([9] * len(rows), pa.int32())})
+    out = pa.Table.from_batches(stream(iter(table.to_batches(max_chunksize=5)), partial(_best, keys=["k0"], n=3), ["k0"], gather=200))
+    want = [(g, s, i + 1) for g in range(40) for i, s in enumerate(sorted(range(g % 7 + 1), reverse=True)[:3])]
+    assert list(zip(out["k0"].to_pylist(), out["score"].to_pylist(), out["rank"].to_pylist())) == want
+
+
+def test_open_records_are_counted_exactly(spark, tmp_path, monkeypatch):
+    """With sketches of 16 values most records stay open; a third of all rows are of one load, and some rows of it have a NULL region, year or article."""
+    rng = random.Random(9)
+    stamp = datetime(2024, 1, 1)
+    load = lambda: 1 if rng.random() < 0.4 else rng.randrange(2, 5)
+    orders = [(i, rng.randrange(3000), rng.randrange(900), rng.choice(["eu", "us", None]), rng.choice([2023, 2024, None]), stamp, load()) for i in range(4000)]
+    lines = [(i, rng.randrange(3000), rng.choice(["s1", "s2", None]), rng.choice([None, *range(50)]), stamp, load()) for i in range(6000)]
+    spark.createDataFrame(orders, "row_id long, id long, customer_id long, region string, year long, loaded_at timestamp, load_no long").write.parquet(f"{tmp_path}/shop_orders.parquet")
+    spark.createDataFrame(lines, "line_id long, order_id long, sku string, revenue long, loaded_at timestamp, load_no long").write.parquet(f"{tmp_path}/shop_lineitem.parquet")
+    stats, wrong = [], set()
+    for load_no, region, year, sku in [(a, b, c, d) for a in (1, 2, 3, 9, None) for b in ("eu", None) for c in (2024, None) for d in ("s1", None)]:
+        picks = []
+        if sku is None:
+            picks.append(("shop_orders", "customer_id", {r[2] for r in orders if r[6] == load_no and region in (None, r[3]) and year in (None, r[4])}))
+        if region is None and year is None:
+            picks.append(("shop_lineitem", "order_id", {r[1] for r in lines if r[5] == load_no and sku in (None, r[2])}))
+        for name, column, ids in picks:
+            for factor in (1.0, 1.19, 1.21, 0.81, 0.79):
+                ndv = round(len(ids) * factor)
+                wrong |= {len(stats)} if load_no is not None and abs(ndv - len(ids)) > 0.2 * len(ids) else set()
+                stats.append((len(stats), name, column, load_no, region, year, sku, ndv))
+    spark.createDataFrame(stats, "stat_id long, table_name string, column_name string, load_no long, region string, year long, sku string, ndv long").write.parquet(f"{tmp_path}/table_stats.parquet")
+    monkeypatch.setattr(queries, "K", 16)
+    assert {r.stat_id for r in queries.p3_found(spark, str(tmp_path)).collect()} == wrong

@@ -80,9 +80,9 @@ def estimate(hashes: Column, k: int = K) -> Column:
 
 
 def bounds(hashes: Column, k: int = K, z: float = Z) -> tuple[Column, Column]:
-    """Lower and upper bound, ``z`` standard errors either side; both the number itself below k."""
+    """Lower and upper bound, ``z`` standard errors either side; both the number itself below k. A k too small for ``z`` has no upper bound."""
     error = F.when(F.size(hashes) < k, 0.0).otherwise(z / (k - 2.0) ** 0.5)
-    return estimate(hashes, k) / (1 + error), estimate(hashes, k) / (1 - error)
+    return estimate(hashes, k) / (1 + error), F.when(error < 1, estimate(hashes, k) / (1 - error)).otherwise(F.lit(float("inf")))
 
 
 def union_of(a: Column, b: Column, k: int = K) -> Column:

@@ -42,10 +42,14 @@ def _subsets(dims: list[str]) -> list[tuple[str, ...]]:
 FIXED = ["table_name", "column_name"]
 
 
-def _sketches(tall: DataFrame, sets: list[tuple[str, ...]], only: dict[tuple[str, ...], Column] | None = None) -> DataFrame:
-    finest = kmv.partial_sketches(tall, [*FIXED, *DIMS], F.col("id"))
-    spread = kmv.grouping_sets(finest, DIMS, sets, FIXED, only=only)
-    return kmv.merge_sketches(spread, [*FIXED, "grouped", *DIMS], tasks=scan_tasks(tall))
+K = kmv.K
+
+
+def _sketches(tall: DataFrame, sets: list[tuple[str, ...]], only: dict[tuple[str, ...], Column] | None = None, k: int | None = None) -> DataFrame:
+    k = k or K
+    finest = kmv.partial_sketches(tall, [*FIXED, *DIMS], F.col("id"), k)
+    spread = kmv.grouping_sets(finest, DIMS, sets, FIXED, k, only)
+    return kmv.merge_sketches(spread, [*FIXED, "grouped", *DIMS], k, tasks=scan_tasks(tall))
 
 
 def _asked_sketches(tall: DataFrame, asked: dict[str, set[tuple[str, ...]]]) -> DataFrame:
@@ -76,7 +80,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [_asked_sketches(tall[t], c) for t, c in combos.items() if c]
     if not parts:
         return asked.select("stat_id").limit(0)
-    low, high = kmv.bounds(F.col("hashes"))
+    low, high = kmv.bounds(F.col("hashes"), K)
     counts = reduce(DataFrame.unionByName, parts).select(*FIXED, "grouped", *DIMS, low.alias("low"), high.alias("high"))
     on = [asked[c] == counts[c] for c in (*FIXED, "grouped", "load_no")] + [asked[c].eqNullSafe(counts[c]) for c in ("region", "year", "sku")]
     held = asked.join(counts, on, "left").select(asked["*"], F.coalesce(counts["low"], F.lit(0.0)).alias("low"), F.coalesce(counts["high"], F.lit(0.0)).alias("high"))
@@ -84,14 +88,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     sound = (F.col("ndv") <= 1.2 * F.col("low")) & (F.col("ndv") >= 0.8 * F.col("high"))
     judged = cut(held.withColumn("verdict", F.when(F.col("low") == F.col("high"), F.abs(F.col("ndv") - F.col("low")) > 0.2 * F.col("low")).when(wrong, F.lit(True)).when(sound, F.lit(False))))
     found = judged.where(F.col("verdict")).select("stat_id")
-    open_ = judged.where(F.col("verdict").isNull()).select("stat_id", *FIXED, "load_no", "region", "year", "sku", "ndv")
-    if open_.isEmpty():
-        return found
-    rows = tall["shop_orders"].unionByName(tall["shop_lineitem"]).where(F.col("id").isNotNull())
-    a, b = open_.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*FIXED, "load_no")] + [F.col(f"a.{c}").isNull() | (F.col(f"a.{c}") == F.col(f"b.{c}")) for c in ("region", "year", "sku")]
-    exact = b.join(a, same).select("a.stat_id", "a.ndv", "b.id").distinct().groupBy("stat_id", "ndv").agg(F.count(F.lit(1)).alias("true_ndv"))
-    return found.unionByName(exact.where(F.abs(F.col("ndv") - F.col("true_ndv")) > 0.2 * F.col("true_ndv")).select("stat_id"))
+    exact = _counted(tall, judged.where(F.col("verdict").isNull()))
+    return found if exact is None else found.unionByName(exact.where(F.abs(F.col("ndv") - F.col("true_ndv")) > 0.2 * F.col("true_ndv")).select("stat_id"))
+
+
+def _counted(tall: dict[str, DataFrame], records: DataFrame) -> DataFrame | None:
+    """``stat_id, ndv, true_ndv`` of records, by an exact count of their groups; None without records.
+
+    Each set of dimensions is counted by itself, so every join is one on equal keys. Rows are kept by a semi-join with the groups asked for and
+    reduced to distinct values before they are counted, spread by group and value: a load with a third of all rows is not one task's.
+    """
+    parts = []
+    for r in records.select("table_name", "grouped").distinct().collect():  # tables times sets of dimensions at most
+        keys = [*FIXED, *r["grouped"].split(",")]
+        asked = records.where((F.col("table_name") == r["table_name"]) & (F.col("grouped") == r["grouped"])).select("stat_id", "ndv", *keys)
+        rows = tall[r["table_name"]].where(F.col("id").isNotNull()).join(asked.select(*keys).distinct(), keys, "left_semi")
+        counts = rows.select(*keys, "id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("true_ndv"))
+        parts.append(asked.join(counts, keys, "left").select("stat_id", "ndv", F.coalesce("true_ndv", F.lit(0)).alias("true_ndv")))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +117,25 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return orders.unionByName(lines).select(*FIXED, "grouped", *DIMS, kmv.estimate(F.col("hashes")).alias("ndv"), low.alias("low"), high.alias("high"))
 
 
+def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The bounds of sketches of 64 values, which have to estimate nearly everywhere, held against exact counts.
+
+    Per load and region the customers, per load and article the orders: their true number and whether the bounds hold it.
+    """
+    tall = _tall(spark, d, {"shop_orders": ("customer_id",), "shop_lineitem": ("order_id",)}, day=False)
+    sets = {"shop_orders": ("load_no", "region"), "shop_lineitem": ("load_no", "sku")}
+    low, high = kmv.bounds(F.col("hashes"), 64)
+    parts = []
+    for name, dims in sets.items():
+        keys = [*FIXED, *dims]
+        bounds = _sketches(tall[name], [dims], k=64).select(*keys, low.alias("low"), high.alias("high"))
+        true = tall[name].where(F.col("id").isNotNull()).select(*keys, "id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("true_ndv"))
+        same = reduce(lambda a, b: a & b, (true[k].eqNullSafe(bounds[k]) for k in keys))
+        held = F.coalesce(F.col("true_ndv").between(F.col("low"), F.col("high")), F.lit(False)).alias("held")
+        parts.append(true.join(bounds, same, "left").select(*[true[k] for k in FIXED], true["load_no"], true[dims[1]].alias("value"), "true_ndv", held))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p3_kept_customers(spark: SparkSession, d: str) -> DataFrame:
     """Customers of each load against the load before: all, in both, and in either only, with bounds."""
     tall = _tall(spark, d, {"shop_orders": ("customer_id",)}, day=False)["shop_orders"]
@@ -136,8 +169,10 @@ def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that come to lie in several containers of the kind ``large``."""
     packed = packing.pack(_sized(spark, d), "doc_id", "tokens", _capacities(spark, d)["large"])
-    return packed.where((F.col("n_pieces") > 1) & (F.col("piece_no") == 1)).select(F.col("item").alias("doc_id"))
+    spread = packed.groupBy("item").agg(F.min("container_no").alias("first"), F.max("container_no").alias("last"))
+    return spread.where(F.col("first") < F.col("last")).select(F.col("item").alias("doc_id"))
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -156,34 +191,86 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p6_by_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The packing with sizes in characters, and what has to hold of it, per kind of container.
+
+    Texts packed, texts in more than one container, pieces, characters packed; and, each 0, containers above their capacity, pieces without a container, and
+    texts whose pieces don't add up to them.
+    """
+    sized = cut(table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("chars")))
+    parts = []
+    for name, capacity in sorted(_capacities(spark, d).items()):
+        packed = cut(packing.pack(sized, "doc_id", "chars", capacity))
+        texts = packed.groupBy("item").agg(F.min("container_no").alias("a"), F.max("container_no").alias("b"), F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("container_no").isNull().cast("bigint")).alias("lost"))
+        whole = sized.where(F.col("chars") > 0).join(texts, F.col("doc_id") == F.col("item"), "full")
+        count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+        sums = whole.agg(count(F.col("item").isNotNull()).alias("texts"), count(F.col("a") < F.col("b")).alias("split"), count(F.col("n")).alias("pieces"), count(F.col("s")).alias("chars"), count(F.col("lost")).alias("unplaced"), count(~F.col("s").eqNullSafe(F.col("chars"))).alias("unequal"))
+        over = packed.groupBy("container_no").agg(F.sum("size").alias("s")).agg(count(F.col("s") > capacity).alias("overfull"))
+        parts.append(sums.crossJoin(over).withColumn("container_name", F.lit(name)))  # one row each
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
+#: The domains of the mix, by the name a host begins with; any other host is of the domain without a name.
+DOMAINS = ("blog", "m", "shop", "www")
+
+
 def _host_domain(url: Column) -> Column:
-    """The last label of a URL's host."""
-    return F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*?\.?([a-z0-9-]+)\.?(?::\d+)?(?:[/?#]|$)", 1))
+    first = F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([a-z0-9-]+)\.", 1))
+    return F.when(first.isin(*DOMAINS), first)
 
 
 def _language(lang: Column) -> Column:
     return F.lower(F.regexp_extract(lang, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
 
 
-def _mix_documents(spark: SparkSession, d: str) -> DataFrame:
-    blank = lambda c: F.when(c != "", c)
-    return table(spark, d, "documents").select("doc_id", "source", blank(_host_domain(F.col("url"))).alias("domain"), blank(_language(F.col("lang"))).alias("language"), token_count(F.col("text")).alias("size"))
+def _mix_documents(spark: SparkSession, d: str, size: Column) -> DataFrame:
+    language = _language(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", "source", _host_domain(F.col("url")).alias("domain"), F.when(language != "", language).alias("language"), size.alias("size"))
+
+
+def _mix_of(spark: SparkSession, d: str, size: Column) -> mixing.Mix:
+    return mixing.mix(_mix_documents(spark, d, size), table(spark, d, "mix_targets"))
+
+
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return _mix_of(spark, d, token_count(F.col("text")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    docs, leaves, _ = mixing.measure(_mix_documents(spark, d), table(spark, d, "mix_targets"))
-    return mixing.shortages(leaves, docs).select("source")
+    """Sources whose leaves' budgets leave part of their share unmet."""
+    docs, leaves, total = mixing.measure(_mix_documents(spark, d, token_count(F.col("text"))), table(spark, d, "mix_targets"))
+    return mixing.shortages(leaves, docs, total).select("source")
 
 
 def p7_chosen(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(_mix_documents(spark, d), table(spark, d, "mix_targets")).chosen.select("doc_id", "source", "uses")
+    return _mix(spark, d).chosen.select("doc_id", "source", "uses")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(mixing.mix(_mix_documents(spark, d), table(spark, d, "mix_targets")))
+    return mixing.shares(_mix(spark, d))
+
+
+def p7_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of the mix: size, share, budget and size reached of every source in every language and domain."""
+    return mixing.leaf_shares(_mix(spark, d))
+
+
+def p7_by_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with sizes in characters, and what has to hold of it, per source.
+
+    Characters the source has, whether its share can't be reached; and, each 0, documents used more often than allowed, documents used twice as rows, and
+    leaves off their budget by more than a document.
+    """
+    m = _mix_of(spark, d, F.length("text"))
+    sizes = mixing.leaf_shares(m).groupBy("source").agg(F.sum("size").alias("chars"), F.sum((F.abs(F.col("reached") - F.col("budget")) > F.col("largest")).cast("bigint")).alias("off"))
+    targets = table(spark, d, "mix_targets")
+    used = m.chosen.join(targets.select("source", "max_repeats"), "source").groupBy("source", "doc_id").agg(F.sum((F.col("uses") > F.col("max_repeats")).cast("bigint")).alias("over"), F.count(F.lit(1)).alias("n"))
+    faults = used.groupBy("source").agg(F.sum("over").alias("over_used"), F.sum((F.col("n") > 1).cast("bigint")).alias("twice"))
+    short = mixing.shortages(m.leaves, m.chosen, m.total).select("source", F.lit(True).alias("short"))
+    return sizes.join(faults, "source", "left").join(short, "source", "left").fillna(0, ["over_used", "twice"]).fillna(False, ["short"])
 
 
 # --- truncated texts -------------------------------------------------------------------------------------------------
@@ -197,7 +284,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(truncation.truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p3_kept_customers, p4_found, p6_found, p6_containers, p6_fill, p7_found, p7_chosen, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p3_bounds, p3_kept_customers, p4_found, p6_found, p6_containers, p6_fill, p6_by_chars, p7_found, p7_chosen, p7_shares, p7_leaves, p7_by_chars, p8_found, p8_rates)}
 
 _STATS = " UNION ALL ".join(
     f"SELECT s.stat_id, s.ndv, count(DISTINCT t.{c}) AS true_ndv FROM table_stats s LEFT JOIN {t} t ON t.load_no = s.load_no {extra} WHERE s.table_name = '{t}' AND s.column_name = '{c}' {only} GROUP BY ALL"
@@ -211,4 +298,11 @@ ORACLE = {
     "p3_found": f"SELECT stat_id FROM ({_STATS}) WHERE ndv IS NOT NULL AND abs(ndv - true_ndv) > 0.2 * true_ndv",
     "p4_found": """SELECT line_id, rank_no FROM (SELECT l.line_id, row_number() OVER (PARTITION BY l.load_no, o.region, l.sku ORDER BY l.revenue DESC, l.line_id) AS rank_no
   FROM shop_lineitem l JOIN (SELECT DISTINCT id, region FROM shop_orders) o ON o.id = l.order_id WHERE l.revenue IS NOT NULL AND l.sku IS NOT NULL AND o.region IS NOT NULL) WHERE rank_no <= 3""",
+    "p3_bounds": """SELECT 'shop_orders' AS table_name, 'customer_id' AS column_name, load_no, region AS value, count(DISTINCT customer_id) AS true_ndv, true AS held FROM shop_orders WHERE customer_id IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'shop_lineitem', 'order_id', load_no, sku, count(DISTINCT order_id), true FROM shop_lineitem WHERE order_id IS NOT NULL GROUP BY ALL""",
+    "p6_by_chars": """SELECT container_name, count(*) AS texts, count(*) FILTER (WHERE length(text) > capacity_tokens) AS split, CAST(sum(ceil(length(text) / capacity_tokens)) AS BIGINT) AS pieces,
+  CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS unplaced, CAST(0 AS BIGINT) AS unequal, CAST(0 AS BIGINT) AS overfull FROM documents, containers WHERE length(text) > 0 GROUP BY container_name""",
+    "p7_by_chars": """SELECT t.source, CAST(coalesce(s.chars, 0) AS BIGINT) AS chars, coalesce(s.chars, 0) * t.max_repeats < t.target_share * (SELECT sum(length(text)) FROM documents) AS short,
+  CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS over_used, CAST(0 AS BIGINT) AS twice
+  FROM mix_targets t LEFT JOIN (SELECT source, sum(length(text)) AS chars FROM documents GROUP BY source) s ON s.source = t.source""",
 }
