@@ -53,7 +53,7 @@ def timed(catalog: Catalog, text: str, repeat: int, nested: bool = False, **opti
         if nested:
             join = root.children[0]
             root.children = (NestedLoopJoin(join.scope, join.children, join.left_key, join.right_key),)
-        with engine._dialect(catalog.spark, options.get("pushdown", True)):
+        with engine._dialect(catalog.spark):
             engine._named(root, root.frame()).write.format("noop").mode("overwrite").save()
         took.append(time.perf_counter() - began)
     return min(took[1:])

@@ -16,25 +16,16 @@ from tidemill.plans.names import Scope
 from tidemill.plans.syntax import parse
 from tidemill.sources.catalog import Catalog
 
-#: Rules of Spark's own optimizer that would push a filter below a join.
-_PUSHING = ",".join(
-    f"org.apache.spark.sql.catalyst.optimizer.{r}"
-    for r in ("PushDownPredicates", "PushPredicateThroughJoin", "PushPredicateThroughNonJoin", "InferFiltersFromConstraints", "CombineFilters")
-)
-
-
 @contextmanager
-def _dialect(spark: SparkSession, pushdown: bool = True) -> Iterator[None]:
-    """Session settings a query runs under: case-sensitive names, and no pushdown by Spark where it is switched off."""
-    wanted = {"spark.sql.caseSensitive": "true"} | ({} if pushdown else {"spark.sql.optimizer.excludedRules": _PUSHING})
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
+def _dialect(spark: SparkSession) -> Iterator[None]:
+    """Session settings a query is analysed under: names are case-sensitive."""
+    key = "spark.sql.caseSensitive"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def compile_sql(catalog: Catalog, text: str, reorder: bool = True, pushdown: bool = True, exact_sums: bool = False) -> N.Node:
@@ -51,7 +42,7 @@ def _named(root: N.Node, frame: DataFrame) -> DataFrame:
 def sql(catalog: Catalog, text: str, reorder: bool = True, pushdown: bool = True, exact_sums: bool = False) -> DataFrame:
     """The query as a lazy DataFrame, the way to go on working with a result of any size.
 
-    ``pushdown=False`` decides where filters stand in this plan; only ``execute`` can also keep Spark's optimizer from moving them.
+    ``pushdown=False`` keeps filters above the joins, also in what Spark runs.
     """
     root = compile_sql(catalog, text, reorder, pushdown, exact_sums)
     with _dialect(catalog.spark):
@@ -61,7 +52,7 @@ def sql(catalog: Catalog, text: str, reorder: bool = True, pushdown: bool = True
 def execute(catalog: Catalog, text: str, reorder: bool = True, pushdown: bool = True, exact_sums: bool = False) -> tuple[list[tuple[Any, ...]], Scope]:
     """The query's rows on the driver, and the scope that names their columns (``scope.names()``)."""
     root = compile_sql(catalog, text, reorder, pushdown, exact_sums)
-    with _dialect(catalog.spark, pushdown):
+    with _dialect(catalog.spark):
         return [tuple(r) for r in _named(root, root.frame()).collect()], root.scope
 
 
@@ -80,7 +71,7 @@ class Analysis:
 def explain_analyze(catalog: Catalog, text: str, reorder: bool = True, pushdown: bool = True) -> Analysis:
     """Run the query with a count after every node."""
     root = compile_sql(catalog, text, reorder, pushdown)
-    with _dialect(catalog.spark, pushdown):
+    with _dialect(catalog.spark):
         _, rows, plan = P.profile(catalog, root, _named)
     return Analysis([tuple(r) for r in rows], root.scope, plan)
 

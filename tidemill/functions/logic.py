@@ -102,7 +102,11 @@ def fails(node: Any, scope: Scope) -> Column:
 
 
 def _sides(node: Binary, scope: Scope) -> tuple[Value, Value]:
-    a, b = value(node.left, scope), value(node.right, scope)
+    return aligned(value(node.left, scope), value(node.right, scope))
+
+
+def aligned(a: Value, b: Value) -> tuple[Value, Value]:
+    """Two values that are compared, of one family where the dialect makes them so."""
     pair = {a.family, b.family}
     if pair == {"bool", "number"}:  # TRUE equals 1
         a, b = (Value(v.column.cast("bigint"), T.LongType(), v.nullable) if v.family == "bool" else v for v in (a, b))

@@ -5,24 +5,35 @@ A node only declares. The physical strategy – join algorithm, partial aggregat
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.errors import EngineError
-from tidemill.functions.logic import Value, holds, value
+from tidemill.functions.logic import Value, aligned, holds, value
+from tidemill.plans.costs import join_rows
 from tidemill.plans.names import Field, Scope
-from tidemill.plans.syntax import Call, Item, Order
+from tidemill.plans.stats import small
+from tidemill.plans.syntax import Call, Item, Order, conjuncts
 from tidemill.sources.catalog import Table
 
 
+class Knowledge(Protocol):
+    """What estimates are made from: rows of a table, distinct values of a key among so many rows, the share of rows a condition keeps."""
+
+    def counted(self, scan: Scan) -> int: ...
+    def distinct(self, key: Any, among: float) -> int: ...
+    def kept(self, condition: Any) -> float: ...
+
+
 @dataclass(eq=False)
 class Node:
-    """``scope`` is what the node puts out; ``children`` feed it."""
+    """``scope`` is what the node puts out; ``children`` feed it. Labels are part of what EXPLAIN promises: fixed formats."""
 
     scope: Scope
     children: tuple[Node, ...]
@@ -37,6 +48,10 @@ class Node:
     def build(self, *inputs: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def expected(self, inputs: list[float], known: Knowledge) -> float:
+        """Estimated rows, given those of the children. A node that neither adds nor drops rows puts out what it takes in."""
+        return inputs[0]
+
     def frame(self, watch: Callable[[Node, DataFrame], DataFrame] = lambda node, df: df) -> DataFrame:
         """The DataFrame of this subtree; ``watch`` may wrap what each node puts out."""
         return watch(self, self.build(*[c.frame(watch) for c in self.children]))
@@ -53,6 +68,9 @@ class Scan(Node):
     def label(self) -> str:
         return f"Scan {self.alias}"
 
+    def expected(self, inputs: list[float], known: Knowledge) -> float:
+        return float(known.counted(self))
+
     def build(self) -> DataFrame:
         frame = self.table.frame
         return frame.select(*[F.col(c).alias(f.internal) for c, f in zip(frame.columns, self.scope.fields)])
@@ -60,13 +78,20 @@ class Scan(Node):
 
 @dataclass(eq=False)
 class Filter(Node):
+    """``pinned`` keeps it where it stands: Catalyst moves no condition that isn't deterministic, so one that always holds is put before it."""
+
     condition: Any
+    pinned: bool = False
 
     def label(self) -> str:
         return f"Filter {self.condition}"
 
+    def expected(self, inputs: list[float], known: Knowledge) -> float:
+        return inputs[0] * math.prod(known.kept(c) for c in conjuncts(self.condition))
+
     def build(self, df: DataFrame) -> DataFrame:
-        return df.where(holds(self.condition, self.scope))
+        true = holds(self.condition, self.scope)
+        return df.where(F.when(F.rand(0) >= 0, true) if self.pinned else true)
 
 
 @dataclass(eq=False)
@@ -94,10 +119,15 @@ class HashJoin(Node):
         a, b = value(self.left_key, self.children[0].scope), value(self.right_key, self.children[1].scope)
         if a.family == b.family:
             return a.column, b.column
-        if {a.family, b.family} == {"bool", "number"}:
-            return a.column.cast("bigint"), b.column.cast("bigint")
+        a, b = aligned(a, b)  # by the rule of WHERE
+        if a.family == b.family:
+            return a.column, b.column
         return F.lit(None).cast("bigint"), F.lit(None).cast("bigint")  # values of different types are never equal
 
+    def expected(self, inputs: list[float], known: Knowledge) -> float:
+        left, right = (known.distinct(k, n) for k, n in zip((self.left_key, self.right_key), inputs))
+        return join_rows(*inputs, left, right)
+
     def build(self, left: DataFrame, right: DataFrame) -> DataFrame:
         a, b = self.keys()
         return left.join(right, a == b, "inner")
@@ -105,14 +135,19 @@ class HashJoin(Node):
 
 @dataclass(eq=False)
 class NestedLoopJoin(HashJoin):
-    """The same rows by comparing every pair: a baseline for tests and measurements that the planner never picks."""
+    """The same rows by comparing every pair: a baseline for tests and measurements that the planner never picks.
+
+    The right side goes to every task if it is a table Spark would broadcast; otherwise Spark chooses.
+    """
 
     def label(self) -> str:
         return f"NestedLoopJoin {self.left_key} = {self.right_key}"
 
     def build(self, left: DataFrame, right: DataFrame) -> DataFrame:
         a, b = self.keys()
-        return left.join(F.broadcast(right), (a <= b) & (a >= b), "inner")
+        below = self.children[1].walk()
+        sent = all(small(n.table) if isinstance(n, Scan) else isinstance(n, (Filter, Project)) for n in below)
+        return left.join(F.broadcast(right) if sent else right, (a <= b) & (a >= b), "inner")
 
 
 @dataclass(eq=False)
@@ -135,6 +170,10 @@ class HashAggregate(Node):
         keys = ", ".join(map(str, self.group_exprs)) or "(all rows)"
         return f"HashAggregate group_by=[{keys}] aggs=[{', '.join(i.name for i in self.items)}]"
 
+    def expected(self, inputs: list[float], known: Knowledge) -> float:
+        """One row without keys; else a group per combination of key values, as far as there are rows for them."""
+        return min(inputs[0], float(math.prod(known.distinct(k, inputs[0]) for k in self.group_exprs))) if self.group_exprs else 1.0
+
     def build(self, df: DataFrame) -> DataFrame:
         names = [f.internal for f in self.scope.fields]
         keys = [k.column.alias(n) for k, n in zip(self.keys, names)]
@@ -172,6 +211,9 @@ class TopK(Node):
     def label(self) -> str:
         return f"TopK {self.count} by " + ", ".join(map(str, self.order))
 
+    def expected(self, inputs: list[float], known: Knowledge) -> float:
+        return min(inputs[0], float(self.count))
+
     def build(self, df: DataFrame) -> DataFrame:
         return df.orderBy(*_sorted_by(self.order, self.scope)).limit(self.count)
 
@@ -183,6 +225,9 @@ class Limit(Node):
     def label(self) -> str:
         return f"Limit {self.count}"
 
+    def expected(self, inputs: list[float], known: Knowledge) -> float:
+        return min(inputs[0], float(self.count))
+
     def build(self, df: DataFrame) -> DataFrame:
         return df.limit(self.count)
 

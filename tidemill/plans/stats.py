@@ -6,7 +6,9 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.sources.catalog import Catalog, Table
 
@@ -22,16 +24,44 @@ class TableStats:
         return max(1, self.ndv.get(column, 1))
 
 
+def bytes_of(table: Table) -> int:
+    """Size of a table as Spark's optimizer sees it: that of its files, or more than any where it can't tell. Runs nothing."""
+    return int(str(table.frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small(table: Table) -> bool:
+    """Whether Spark would broadcast the table; its columns may then come to the driver too."""
+    limit = table.frame.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    most = int(limit[:-1]) if limit[-1:].lower() == "b" else int(limit) if limit.lstrip("-").isdigit() else 10 << 20
+    return table.local is not None or bytes_of(table) <= most
+
+
+_PLAIN = (T.StringType, T.IntegralType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def _counted_here(table: Table, names: list[str]) -> list[int] | None:
+    """Rows and distinct values of a small table, without a shuffle; None where values are not plain enough to be told apart here."""
+    places = [table.columns.index(c) for c in names]
+    if not all(isinstance(table.frame.schema[i].dataType, _PLAIN) for i in places):
+        return None
+    if table.local is not None:
+        return [len(table.local), *[len({r[i] for r in table.local} - {None}) for i in places]]
+    got = table.frame.select(F.lit(True).alias("r"), *[F.col(f"c{i}") for i in places]).toArrow()
+    return [got.num_rows, *[pc.count_distinct(got[f"c{i}"]).as_py() for i in places]]
+
+
 def table_stats(catalog: Catalog, table: Table, columns: set[str]) -> TableStats:
     """Statistics of a table, with the distinct counts of ``columns``; kept until the name is registered anew.
 
-    One pass over just those columns counts both exactly, whatever the size of the table.
+    Counted exactly whatever the size: of tables that Spark would broadcast on the driver, from just those columns, of others in one pass.
     """
     known = catalog.stats.get(table.name)
     stats = known[1] if known is not None and known[0] is table else TableStats(-1)
     wanted = {c: F.col(f"c{i}") for i, c in reversed(list(enumerate(table.columns))) if c in columns and c not in stats.ndv}
     if stats.row_count < 0 or wanted:
-        row = table.frame.agg(F.count(F.lit(1)), *[F.count_distinct(c) for c in wanted.values()]).first()
+        row = _counted_here(table, list(wanted)) if wanted and small(table) else None
+        if row is None:
+            row = table.frame.agg(F.count(F.lit(1)), *[F.count_distinct(c) for c in wanted.values()]).first()
         stats.row_count = row[0]
         stats.ndv.update(zip(wanted, row[1:]))
         catalog.stats[table.name] = (table, stats)
@@ -39,10 +69,17 @@ def table_stats(catalog: Catalog, table: Table, columns: set[str]) -> TableStats
 
 
 def gather(catalog: Catalog, wanted: Sequence[tuple[Table, set[str]]]) -> list[TableStats]:
-    """Statistics of several tables, computed side by side."""
+    """Statistics of several tables, computed side by side.
+
+    Where all tables but one are small, every order runs as broadcasts into that one. Then nothing but its rows is counted, which
+    Parquet has in its footers, and its keys are taken to have the values of their partners.
+    """
     merged: dict[str, tuple[Table, set[str]]] = {}
     for table, columns in wanted:
         merged[table.name] = (table, merged.get(table.name, (table, set()))[1] | columns)
+    large = [name for name, (table, _) in merged.items() if not small(table)]
+    if len(large) == 1 and sum(t.name == large[0] for t, _ in wanted) == 1:
+        merged[large[0]] = (merged[large[0]][0], set())
     with ThreadPoolExecutor(len(merged) or 1) as pool:
-        list(pool.map(lambda tc: table_stats(catalog, *tc), merged.values()))
-    return [table_stats(catalog, table, columns) for table, columns in wanted]
+        found = dict(zip(merged, pool.map(lambda tc: table_stats(catalog, *tc), merged.values())))
+    return [found[table.name] for table, _ in wanted]

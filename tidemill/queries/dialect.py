@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +62,15 @@ _add("join_extra_equality", "SELECT c_custkey, s_suppkey FROM customer JOIN supp
 _add("join_cross_table_or", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F' OR c_mktsegment = 'BUILDING'")
 _add("join_cross_table_and_in_or", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE (o_orderstatus = 'F' AND c_mktsegment = 'BUILDING') OR c_nationkey = 1")
 _add("join_constant_key", "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = 1", "SELECT r_name, n_name FROM region, nation WHERE r_regionkey = 1")
-_THREE = "SELECT c.c_mktsegment AS s, COUNT(*) AS n FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_name = 'CHINA' GROUP BY c.c_mktsegment"
+_THREE = "SELECT c.c_mktsegment AS s, COUNT(*) AS n FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_regionkey = 2 AND o.o_orderstatus = 'F' GROUP BY c.c_mktsegment"
 _add("pushdown_off", _THREE, pushdown=False)
 _add("reorder_off", _THREE, reorder=False)
+_add("toggles_on", _THREE)
+_add("join_unqualified", "SELECT c_custkey FROM customer JOIN nation ON (n_nationkey = c_nationkey)")
+_add("join_same_names", "SELECT a.r_name AS r FROM region a JOIN region b ON r_regionkey = r_regionkey", "SELECT r_name AS r FROM region")
+_add("default_names", "SELECT COUNT(*), SUM(s_nationkey), o.s_name FROM supplier o GROUP BY o.s_name", 'SELECT COUNT(*) AS "COUNT(*)", CAST(SUM(s_nationkey) AS BIGINT) AS "SUM(s_nationkey)", s_name AS "o.s_name" FROM supplier GROUP BY s_name')
+_add("filter_truthy_text", "SELECT o_orderkey FROM orders WHERE o_orderstatus AND o_orderdate AND NOT o_custkey", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> '' AND o_orderdate IS NOT NULL AND coalesce(o_custkey = 0, true)")
+_add("join_text_and_time", "SELECT a.e AS e FROM times a JOIN texts b ON a.t = b.t", "SELECT CAST(e AS BIGINT) AS e FROM (VALUES (1)) AS v(e)")
 _add(
     "agg_global",
     "SELECT COUNT(*) AS n, COUNT(o_custkey) AS c, SUM(o_custkey) AS s, MIN(o_totalprice) AS lo, MAX(o_orderstatus) AS hi, AVG(o_custkey) AS a FROM orders",
@@ -101,6 +108,8 @@ def _query(text: str, options: dict) -> Callable[[SparkSession, str], DataFrame]
     def run(spark: SparkSession, d: str) -> DataFrame:
         tables = catalog(spark, d)
         tables.waiting["n"] = lambda: tables.register("n", "k BIGINT, g STRING, v DOUBLE", NULL_ROWS)
+        tables.waiting["times"] = lambda: tables.register("times", "e BIGINT, t TIMESTAMP", [(1, datetime(2024, 5, 6, 7, 8)), (2, None)])
+        tables.waiting["texts"] = lambda: tables.register("texts", "t STRING", [("2024-05-06 07:08:00",), ("no time",), (None,)])
         return engine.sql(tables, text, **options)
 
     return run
@@ -123,7 +132,7 @@ def join_nested_loop(spark: SparkSession, d: str) -> DataFrame:
 def _snapshots(spark: SparkSession, d: str) -> SnapshotTable:
     """orders in two appends, then overwritten and restored: versions 0 to 4."""
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
-    table = SnapshotTable.create(spark, working_path(spark).removeprefix("file://"), orders.schema)
+    table = SnapshotTable.create(spark, working_path(spark), orders.schema)
     old = F.col("o_orderstatus") == "F"
     table.append(orders.where(old))
     table.append(orders.where(~old))

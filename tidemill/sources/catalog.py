@@ -18,12 +18,13 @@ from tidemill.sources.snapshots import SnapshotTable
 
 @dataclass(frozen=True)
 class Table:
-    """A DataFrame whose columns are ``c0, c1, …``, and the names they go by. ``version`` is that of a snapshot, else None."""
+    """A DataFrame whose columns are ``c0, c1, …``, and the names they go by. ``version`` is that of a snapshot, ``local`` the rows of a table given as rows, else None."""
 
     name: str
     columns: tuple[str, ...]
     frame: DataFrame
     version: int | None = None
+    local: list[tuple] | None = None
 
     def scope(self, alias: str | None = None) -> Scope:
         kinds = self.frame.schema.fields
@@ -39,9 +40,9 @@ class Catalog:
         self.stats: dict[str, Any] = {}
         self.waiting: dict[str, Callable[[], Table]] = {}
 
-    def _put(self, name: str, columns: Sequence[str], frame: DataFrame, version: int | None = None) -> Table:
+    def _put(self, name: str, columns: Sequence[str], frame: DataFrame, version: int | None = None, local: list[tuple] | None = None) -> Table:
         plain = frame.toDF(*[f"c{i}" for i in range(len(columns))])
-        self.tables[name] = Table(name, tuple(columns), plain, version)
+        self.tables[name] = Table(name, tuple(columns), plain, version, local)
         self.stats.pop(name, None)
         self.waiting.pop(name, None)
         return self.tables[name]
@@ -58,7 +59,7 @@ class Catalog:
             rows = [(*r[:i], None if r[i] is None else float(r[i]), *r[i + 1 :]) for r in rows]
         names = [f.name for f in schema.fields]
         plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
-        return self._put(name, names, self.spark.createDataFrame(rows, plain))
+        return self._put(name, names, self.spark.createDataFrame(rows, plain), local=rows)
 
     def register_frame(self, name: str, frame: DataFrame) -> Table:
         return self._put(name, frame.columns, frame)

@@ -1,7 +1,7 @@
 """Versioned tables: Parquet data files and a log of JSON commits, readable at any version.
 
 Every change is one commit. Data files are written first and belong to no version until a commit names them, so a reader never
-sees half a change. A commit is published by creating its file exclusively; of two writers of one version the second fails.
+sees half a change. A commit is published by giving its file a name that is free; of two writers of one version the second fails.
 Appends record only what they add, and every ``WHOLE_EVERY`` versions the full list, so commits stay small however
 long the history and a reader replays few of them.
 """
@@ -9,17 +9,18 @@ long the history and a reader replays few of them.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.errors import EngineError
+from tidemill.sources.files import Folder
 
 WHOLE_EVERY = 16
 # fixed values: names of column types in a declared schema
@@ -61,51 +62,51 @@ class Snapshot:
         return self.spark.read.schema(self.schema).parquet(*self.files)
 
 
+def _log(version: int) -> str:
+    return f"_log/{version:020d}.json"
+
+
 class SnapshotTable:
-    """A versioned table in a directory that all writers and readers share."""
+    """A versioned table in a folder that all writers and readers share, on any file system Spark can reach."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, folder: Folder, spark: SparkSession, schema: T.StructType):
+        self.folder, self.spark, self.schema = folder, spark, schema
+
+    @property
+    def path(self) -> str:
+        return self.folder.path
 
     # --- opening
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, schema: T.StructType | Sequence[str]) -> SnapshotTable:
         """A new table; its version 0 has no rows."""
-        path = os.path.abspath(str(path))
-        table = cls(spark, path, schema if isinstance(schema, T.StructType) else declared(schema))
-        if os.path.exists(table._commit_path(0)):
+        table = cls(Folder(spark, path), spark, schema if isinstance(schema, T.StructType) else declared(schema))
+        if table.folder.text(_log(0)) is not None:
             raise EngineError(f"snapshot: {path} is a table already")
-        os.makedirs(f"{path}/_log", exist_ok=True)
         table._publish({"version": 0, "operation": "CREATE", "schema": table.schema.jsonValue(), "files": [], "num_records": 0})
         return table
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> SnapshotTable:
-        path = os.path.abspath(str(path))
-        try:
-            with open(f"{path}/_log/{0:020d}.json", encoding="utf-8") as f:
-                first = json.load(f)
-        except OSError:
-            raise EngineError(f"snapshot: no table at {path}") from None
-        return cls(spark, path, T.StructType.fromJson(first["schema"]))
+        folder = Folder(spark, path)
+        first = folder.text(_log(0))
+        if first is None:
+            raise EngineError(f"snapshot: no table at {path}")
+        return cls(folder, spark, T.StructType.fromJson(json.loads(first)["schema"]))
 
     # --- reading
 
-    def _commit_path(self, version: int) -> str:
-        return f"{self.path}/_log/{version:020d}.json"
-
     def _commit(self, version: int) -> dict[str, Any]:
-        try:
-            with open(self._commit_path(version), encoding="utf-8") as f:
-                return json.load(f)
-        except OSError:
-            raise EngineError(f"snapshot: {self.path} has no version {version}") from None
+        text = self.folder.text(_log(version))
+        if text is None:
+            raise EngineError(f"snapshot: {self.path} has no version {version}")
+        return json.loads(text)
 
     @property
     def version(self) -> int:
         """The latest version."""
-        return max(int(n[:-5]) for n in os.listdir(f"{self.path}/_log") if n.endswith(".json"))
+        return max(int(n[:-5]) for n in self.folder.names("_log") if n.endswith(".json") and n[0] != ".")
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         version = self.version if version is None else version
@@ -176,25 +177,16 @@ class SnapshotTable:
         if missing:
             raise EngineError(f"snapshot: rows lack the columns {', '.join(missing)}")
         part = f"data/{uuid.uuid4().hex}"
-        records.select(*[records[f.name].cast(f.dataType) for f in self.schema.fields]).write.parquet(f"{self.path}/{part}")
-        files = sorted(f"{part}/{n}" for n in os.listdir(f"{self.path}/{part}") if n.endswith(".parquet"))
-        written = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in files]).count() if files else 0
-        return files, written
+        seen = Observation()
+        typed = records.select(*[records[f.name].cast(f.dataType) for f in self.schema.fields])
+        typed.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{part}")
+        return [f"{part}/{n}" for n in self.folder.names(part) if n.endswith(".parquet")], seen.get["n"]
 
     def _publish(self, commit: dict[str, Any]) -> int:
         """Make a commit visible, all of it at once, or fail if its version is taken."""
-        target = self._commit_path(commit["version"])
         if "batches" not in commit:
             commit["batches"] = self._commit(commit["version"] - 1)["batches"] if commit["version"] else {}
-        draft = f"{self.path}/_log/.{uuid.uuid4().hex}"
-        with open(draft, "w", encoding="utf-8") as f:
-            json.dump(commit | {"timestamp": datetime.now(timezone.utc).isoformat()}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        try:
-            os.link(draft, target)
-        except FileExistsError:
-            raise EngineError(f"snapshot: version {commit['version']} of {self.path} was written by someone else; try again") from None
-        finally:
-            os.unlink(draft)
+        stamped = commit | {"timestamp": datetime.now(timezone.utc).isoformat()}
+        if not self.folder.publish(_log(commit["version"]), json.dumps(stamped)):
+            raise EngineError(f"snapshot: version {commit['version']} of {self.path} was written by someone else; try again")
         return commit["version"]
