@@ -20,6 +20,17 @@ def test_cut_and_clear(spark):
     assert not os.path.exists(folder)
 
 
+def test_working_removes_what_it_wrote(spark):
+    kept = runtime.cut(spark.range(3))
+    with runtime.working(spark):
+        inner = runtime.cut(spark.range(4))
+        with runtime.working(spark):
+            runtime.cut(spark.range(5))
+        assert inner.count() == 4
+        path = inner.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert kept.count() == 3 and not os.path.exists(path)
+
+
 def test_the_cluster_names_the_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://shared/work/" if key == "spark.checkpoint.dir" else default))
     assert runtime.shared_dir(session) == "hdfs://shared/work"

@@ -8,11 +8,14 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SCOPES: list[str] = []
 
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
@@ -37,8 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def working_path(spark: SparkSession) -> str:
-    """A new path in the shared folder; ``clear`` removes it with what the application has written."""
-    return f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``working`` and ``clear`` remove it."""
+    scope = f"/{_SCOPES[-1]}" if _SCOPES else ""
+    return f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}{scope}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,10 +58,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, within: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}{within}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what ``cut`` writes within. A DataFrame an operator returned inside must be written or collected there."""
+    _SCOPES.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        _remove(spark, f"/{_SCOPES.pop()}")
+
+
 def clear(spark: SparkSession) -> None:
     """Remove what ``cut`` has written for this application. DataFrames that came from an operator must not be used after it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, "")
 
 
 _SHIPPED: set[str] = set()

@@ -73,7 +73,7 @@ class Catalog:
         """A Parquet file or directory."""
         self._later(name, lambda: self.register_frame(name, self.spark.read.parquet(str(path))))
 
-    def load_csv(self, name: str, path: str | Path, alias: str | None = None, multiline: bool = True) -> None:
+    def load_csv(self, name: str, path: str | Path, alias: str | None = None, multiline: bool | None = None) -> None:
         """A CSV file with a header, which is read now; its columns are typed when a query first names the table.
 
         ``alias`` is accepted for the name a query gives the table anyway.

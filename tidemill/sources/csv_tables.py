@@ -33,15 +33,22 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def read(spark: SparkSession, path: str, names: list[str], multiline: bool = True) -> DataFrame:
+def _breaks_in_cells(spark: SparkSession, path: str) -> bool:
+    """Whether some cell may hold a line break: the line it begins on has an odd number of quotes. One pass over lines, split as Spark likes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read(spark: SparkSession, path: str, names: list[str], multiline: bool | None = None) -> DataFrame:
     """The records of a CSV file as columns ``c0, c1, …``, one per name of its header.
 
     Empty cells, quoted or not, are NULL; ``""`` within quotes is a quote. A column whose cells all are integers becomes BIGINT
     (DECIMAL(38,0) if one does not fit), one of numbers DOUBLE, any other STRING; integers may have spaces around, a sign, leading
     zeros and single ``_`` between digits. Short records are padded with NULL, blank lines skipped, cells beyond the
-    header dropped; a name that occurs twice is only an error for a query that uses it. ``multiline=False`` lets Spark split large files,
-    for data without line breaks in cells.
+    header dropped; a name that occurs twice is only an error for a query that uses it. Spark splits large files unless a cell may hold a
+    line break; ``multiline`` says so where it is known.
     """
+    multiline = _breaks_in_cells(spark, path) if multiline is None else multiline
     plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     reader = spark.read.schema(plain).option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"').option("enforceSchema", True)
     text = reader.csv(path)
