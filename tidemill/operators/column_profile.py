@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ from tidemill.runtime import cut
 KEYS = ["table_name", "load_no", "column_name"]
 #: A mask with a smaller share of a column's values, over all loads, is rare.
 RARE_SHARE = 0.01
+#: Shares are added up in floating point.
+ROUNDING = 1e-9
 #: Microseconds since 1970 between which the year of a timestamp has four digits in any time zone: 1000-02-01 to 9999-01-01.
 FOUR_DIGITS = (-30_607_372_800_000_000, 253_370_764_800_000_000)
 
@@ -170,8 +172,10 @@ def rare_masks(profile: Profile, rare: float = RARE_SHARE) -> DataFrame:
     Masks with at least ``rare`` of the column's non-NULL values are its dominant patterns; the others break them.
     """
     n = profile.masks.where(F.col("mask").isNotNull())
-    column = Window.partitionBy("table_name", "column_name")
-    overall = n.groupBy("table_name", "column_name", "mask").agg(F.sum("n").alias("of_mask")).withColumn("share", F.col("of_mask") / F.sum("of_mask").over(column))
+    column = ["table_name", "column_name"]
+    overall = n.groupBy(*column, "mask").agg(F.sum("n").alias("of_mask"))
+    whole = n.groupBy(*column).agg(F.sum("n").alias("of_column"))
+    overall = overall.join(whole, column).withColumn("share", F.col("of_mask") / F.col("of_column"))
     odd = overall.where(F.col("share") < rare).select("table_name", "column_name", "mask", F.round("share", 9).alias("share"))
     return n.join(odd, ["table_name", "column_name", "mask"]).select("table_name", "load_no", "column_name", "mask", "n", "example", "share")
 
@@ -203,8 +207,11 @@ def broken_limits(profile: Profile, stats: DataFrame) -> DataFrame:
     if bounded:
         wanted = reduce(lambda a, b: a | b, [_of(r["table_name"], r["column_name"]) for r in bounded])
         most = reduce(lambda acc, r: F.when(_of(r["table_name"], r["column_name"]), F.lit(r["max_shift"])).otherwise(acc), bounded, F.lit(None).cast("double"))
-        moved = _shift(profile.values.where(wanted), ["num", "txt"], totals.where(wanted))
-        found.append(moved.where(F.col("shift") > most).select(*KEYS, F.lit("shift").alias("check_name")))
+        # Masks gather values, so theirs is at most the shift of the values: where it is beyond the limit already, that settles it.
+        moved = _shift(profile.masks.where(wanted), ["mask"], totals.where(wanted)).withColumnRenamed("shift", "mask_shift")
+        exact = _shift(profile.values.where(wanted), ["num", "txt"], totals.where(wanted))
+        broken = moved.join(exact, KEYS, "left").where((F.col("mask_shift") > most + ROUNDING) | (F.col("shift") > most))
+        found.append(broken.select(*KEYS, F.lit("shift").alias("check_name")))
     loads = totals.groupBy("table_name", "load_no").agg(F.max("row_count").alias("true_rows")).unionByName(profile.bare)
     stats = stats.select(*KEYS, "region", "year", "sku", "row_count")
     whole = stats.where(F.col("region").isNull() & F.col("year").isNull() & F.col("sku").isNull() & F.col("table_name").isin(sorted(profile.tables)))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ def match_references(refs: DataFrame, parents: DataFrame, keys: list[tuple[str,
     parents that share a key, handed to the references that find one. Adds to ``refs`` the columns ``orphan``
     (BOOLEAN, never NULL), ``null_mask`` (one character per key, ``1`` where the reference's part is NULL) and the facts.
 
-    References are grouped by their NULL mask; each mask is anti-joined with the parents on its non-NULL
+    References are grouped by their NULL mask; each mask that occurs is anti-joined with the parents on its non-NULL
     columns. ``match`` is the declared semantics: ``simple`` – any NULL part satisfies the reference;
     ``partial`` – the non-NULL parts must agree with some parent; ``full`` – all parts are NULL or
     none is, a mix is an orphan. A reference whose parts are all NULL is never an orphan.
@@ -35,7 +33,11 @@ def match_references(refs: DataFrame, parents: DataFrame, keys: list[tuple[str,
     mask = F.concat(*[F.when(F.col(r).isNull(), "1").otherwise("0") for r, _ in keys])
     added = {"null_mask", "orphan", *facts}
     marked = refs.select(*[c for c in refs.columns if c not in added], mask.alias("null_mask"))
-    checked = {"simple": ["0" * len(keys)], "full": ["0" * len(keys)], "partial": ["".join(m) for m in product("01", repeat=len(keys)) if "0" in m]}[match]
+    checked = ["0" * len(keys)]
+    if match == "partial" and len(keys) > 1:  # the masks that occur, at most 2 to the number of keys
+        checked = sorted(r["null_mask"] for r in marked.select("null_mask").distinct().collect() if "0" in r["null_mask"]) or checked
+    if len(checked) > 1 and not facts:
+        parents = cut(parents.select(*dict.fromkeys(p for _, p in keys)).distinct())  # every mask reads the distinct keys
     parts = []
     for m in checked:
         used = [(r, p) for (r, p), bit in zip(keys, m) if bit == "0"]

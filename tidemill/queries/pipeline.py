@@ -59,6 +59,14 @@ def p2_by_month(spark: SparkSession, d: str) -> DataFrame:
     return rf.broken_by_month(_broken(spark, d))
 
 
+def p2_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded statistics as references to the orders they describe, by load, region and year, of which the last two may be NULL, under each of the match semantics."""
+    keys = [(c, c) for c in ("load_no", "region", "year")]
+    records, orders = table(spark, d, "table_stats").select("stat_id", *[c for c, _ in keys]), table(spark, d, "shop_orders").select(*[c for c, _ in keys])
+    parts = [rf.match_references(records, orders, keys, {}, match).where("orphan").select(F.lit(match).alias("semantics"), "stat_id", "null_mask") for match in ("simple", "partial", "full")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _profile(spark: SparkSession, d: str, limited: bool = True) -> cp.Profile:
     tables = {name: table(spark, d, name) for name in ("shop_orders", "shop_lineitem")}
     return cp.profile_loads(tables, table(spark, d, "column_limits"), load="load_no", limited=limited)
@@ -69,24 +77,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The limited columns only, which are those of its SQL; ``p5_profile_all`` has every column."""
-    return cp.describe(_profile(spark, d))
-
-
-def p5_rare_masks(spark: SparkSession, d: str) -> DataFrame:
-    """The limited columns only, which are those of its SQL; ``p5_rare_masks_all`` has every column."""
-    return cp.rare_masks(_profile(spark, d))
-
-
-def p5_profile_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of every load but the load number itself."""
     return cp.describe(_profile(spark, d, limited=False))
 
 
-def p5_rare_masks_all(spark: SparkSession, d: str) -> DataFrame:
+def p5_rare_masks(spark: SparkSession, d: str) -> DataFrame:
     return cp.rare_masks(_profile(spark, d, limited=False))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orders, p1_lineitem, p2_found, p2_by_month, p5_found, p5_profile, p5_rare_masks, p5_profile_all, p5_rare_masks_all)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orders, p1_lineitem, p2_found, p2_by_month, p2_composite, p5_found, p5_profile, p5_rare_masks)}
 
 _CELL = """'("(?:[^"]|"")*"|[^"' || q || ']*)'"""
 _RECORDS = f"""
@@ -121,16 +120,6 @@ shift AS (SELECT m.table_name, m.column_name, m.load_no, sum(abs(d)) / 2 AS shif
   WHERE a.ndv > 0 AND b.ndv > 0 GROUP BY ALL)
 """
 )
-_MASKS = (
-    _LOADS
-    + r""", masks AS (SELECT table_name, column_name, load_no, mask, CAST(sum(n) AS BIGINT) AS n, min(value) AS example FROM (SELECT *, CASE WHEN column_name IN ('region', 'sku') THEN
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '\p{Lu}+', 'A', 'g'), '\p{Ll}+', 'a', 'g'), '\p{Nd}+', '9', 'g'), '\s+', '_', 'g') WHEN value LIKE '-%' THEN '-9' ELSE '9' END AS mask FROM v WHERE value IS NOT NULL) GROUP BY table_name, column_name, load_no, mask),
-mask_shares AS (SELECT m.table_name, m.column_name, m.load_no, mask, n / (row_count - null_count) AS p FROM masks m JOIN prof USING (table_name, column_name, load_no)),
-mask_moved AS (SELECT table_name, column_name, load_no, mask, sum(p) AS d FROM (SELECT * FROM mask_shares UNION ALL SELECT table_name, column_name, load_no + 1, mask, -p FROM mask_shares) GROUP BY ALL),
-mask_shift AS (SELECT m.table_name, m.column_name, m.load_no, sum(abs(d)) / 2 AS shift FROM mask_moved m JOIN prof a USING (table_name, column_name, load_no) JOIN prof b ON b.table_name = m.table_name AND b.column_name = m.column_name AND b.load_no = m.load_no - 1
-  WHERE a.ndv > 0 AND b.ndv > 0 GROUP BY ALL)
-"""
-)
 _ALL = {"shop_orders": ("row_id", "id", "customer_id", "region", "year", "ordered_at", "loaded_at"), "shop_lineitem": ("line_id", "order_id", "sku", "revenue", "loaded_at")}
 _ALL_MASKS = (
     "WITH v AS MATERIALIZED ("
@@ -159,6 +148,10 @@ ORACLE = {
     "p1_lineitem": _RECORDS + "SELECT record_id, i_order_id AS order_id, s_sku AS sku, i_revenue AS revenue FROM judged WHERE reason IS NULL AND target_name = 'lineitem'",
     "p2_found": _BROKEN + "SELECT src_table, row_id, reason FROM broken WHERE reason IS NOT NULL",
     "p2_by_month": _BROKEN + "SELECT src_table, strftime(t AT TIME ZONE 'UTC', '%Y-%m') AS month, reason, count(*) AS n FROM broken WHERE reason IS NOT NULL GROUP BY ALL",
+    "p2_composite": """WITH o AS (SELECT DISTINCT load_no, region, year FROM shop_orders), r AS (SELECT stat_id, load_no, region, year, (load_no IS NULL)::INT::VARCHAR || (region IS NULL)::INT::VARCHAR || (year IS NULL)::INT::VARCHAR AS null_mask FROM table_stats),
+m AS (SELECT r.*, EXISTS (SELECT 1 FROM o WHERE o.load_no = r.load_no AND (r.region IS NULL OR o.region = r.region) AND (r.year IS NULL OR o.year = r.year)) AS met FROM r)
+SELECT 'simple' AS semantics, stat_id, null_mask FROM m WHERE null_mask = '000' AND NOT met UNION ALL SELECT 'partial', stat_id, null_mask FROM m WHERE null_mask <> '111' AND NOT met
+UNION ALL SELECT 'full', stat_id, null_mask FROM m WHERE null_mask <> '111' AND (null_mask <> '000' OR NOT met)""",
     "p5_found": _LOADS
     + """, m AS (SELECT v.*, l.* EXCLUDE (table_name, column_name), TRY_CAST(value AS BIGINT) AS num FROM v JOIN column_limits l USING (table_name, column_name)),
 agg AS (SELECT table_name, column_name, load_no, sum(n) AS rows, coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS nulls, coalesce(sum(n) FILTER (WHERE num < min_value OR num > max_value), 0) AS out, coalesce(sum(n) FILTER (WHERE NOT regexp_full_match(value, value_pattern)), 0) AS off,
@@ -170,17 +163,10 @@ UNION ALL SELECT table_name, load_no, column_name, 'few_distinct' FROM agg WHERE
 UNION ALL SELECT table_name, load_no, column_name, 'shift' FROM shift JOIN column_limits USING (table_name, column_name) WHERE shift > max_shift
 UNION ALL SELECT DISTINCT s.table_name, s.load_no, s.column_name, 'row_count' FROM table_stats s LEFT JOIN (SELECT table_name, load_no, max(row_count) AS n FROM prof GROUP BY ALL) c USING (table_name, load_no)
   WHERE s.region IS NULL AND s.year IS NULL AND s.sku IS NULL AND s.row_count <> coalesce(c.n, 0) AND s.table_name IN ('shop_orders', 'shop_lineitem')""",
-    "p5_profile": _MASKS
-    + """SELECT p.*, lo AS min_value, hi AS max_value, round(s.shift, 9) AS shift, round(x.shift, 9) AS mask_shift FROM prof p
-LEFT JOIN (SELECT table_name, column_name, load_no, min(CASE WHEN column_name NOT IN ('region', 'sku') THEN TRY_CAST(value AS BIGINT) END) AS lo, max(CASE WHEN column_name NOT IN ('region', 'sku') THEN TRY_CAST(value AS BIGINT) END) AS hi FROM v GROUP BY ALL) USING (table_name, column_name, load_no)
-LEFT JOIN shift s USING (table_name, column_name, load_no) LEFT JOIN mask_shift x USING (table_name, column_name, load_no)""",
-    "p5_rare_masks": _MASKS
-    + """, overall AS (SELECT table_name, column_name, mask, k / sum(k) OVER (PARTITION BY table_name, column_name) AS share FROM (SELECT table_name, column_name, mask, sum(n) AS k FROM masks GROUP BY ALL))
-SELECT m.table_name, m.load_no, m.column_name, m.mask, m.n, m.example, round(share, 9) AS share FROM masks m JOIN overall USING (table_name, column_name, mask) WHERE share < 0.01""",
-    "p5_profile_all": _ALL_MASKS
+    "p5_profile": _ALL_MASKS
     + f"""SELECT p.table_name, p.load_no, p.column_name, row_count, null_count, ndv, lo AS min_value, hi AS max_value, round(s.shift, 9) AS shift, round(x.shift, 9) AS mask_shift FROM prof p
 LEFT JOIN {_moved("value", "v")} s USING (table_name, column_name, load_no) LEFT JOIN {_moved("mask", "masks")} x USING (table_name, column_name, load_no)""",
-    "p5_rare_masks_all": _ALL_MASKS
+    "p5_rare_masks": _ALL_MASKS
     + """, overall AS (SELECT table_name, column_name, mask, k / sum(k) OVER (PARTITION BY table_name, column_name) AS share FROM (SELECT table_name, column_name, mask, sum(n) AS k FROM masks GROUP BY ALL))
 SELECT m.table_name, m.load_no, m.column_name, m.mask, m.n, m.example, round(share, 9) AS share FROM masks m JOIN overall USING (table_name, column_name, mask) WHERE share < 0.01""",
 }
