@@ -1,6 +1,7 @@
 """The dialect end to end, by rows, plans and errors."""
 
 import random
+from datetime import datetime
 
 import pytest
 
@@ -228,6 +229,44 @@ def test_filters_move_below_joins(shop):
     assert lines(shop, text + "1 = 1")[2] == "    Filter 1 = 1"
 
 
+def test_pushdown_off_holds_in_what_spark_runs(spark, tmp_path):
+    """The filter stays above the join and away from the reader, in a lazy frame too; with pushdown it is below, in the reader."""
+    catalog = Catalog(spark)
+    for name in "ab":
+        spark.range(100).selectExpr("id", "id % 3 AS k").write.parquet(str(tmp_path / name))
+        catalog.load_parquet(name, tmp_path / name)
+    text = "SELECT a.id FROM a JOIN b ON a.id = b.id WHERE a.k = 1"
+    on, off = (sql(catalog, text, pushdown=p) for p in (True, False))
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (on, off)]
+    assert plans[0].index("Join Inner") < plans[0].index("= 1)") and plans[1].index("= 1)") < plans[1].index("Join Inner")
+    assert "EqualTo(k,1)" in on._jdf.queryExecution().executedPlan().toString() and "EqualTo(k,1)" not in off._jdf.queryExecution().executedPlan().toString()
+    assert sorted(on.collect()) == sorted(off.collect()) and len(on.collect()) == 33
+
+
+def test_orders_of_small_and_large_tables(spark, tmp_path, monkeypatch):
+    """With one large table only its rows are counted; with two their keys are too."""
+    from tidemill.plans import stats
+
+    catalog = Catalog(spark)
+    for name, n in (("f", 1000), ("d", 40), ("t", 3)):
+        spark.range(n).selectExpr("id", "id % 40 AS dim_id", "id % 3 AS tiny_id", "CAST(id AS STRING) AS label").write.parquet(str(tmp_path / name))
+        catalog.load_parquet(name, tmp_path / name)
+    large = {"f"}
+    monkeypatch.setattr(stats, "small", lambda table: table.name not in large)
+    plan = lines(catalog, STAR)
+    assert catalog.stats["f"][1] == stats.TableStats(1000) and catalog.stats["t"][1].ndv == {"id": 3}
+    catalog.stats.clear()
+    large.add("d")
+    assert lines(catalog, STAR) == plan and catalog.stats["f"][1].ndv == {"dim_id": 40, "tiny_id": 3} and "Reorder" in plan[1]
+
+
+def test_text_and_time(spark):
+    catalog = Catalog(spark)
+    catalog.register("a", "t TIMESTAMP", [(datetime(2024, 5, 6, 7, 8),), (None,)])
+    catalog.register("b", "t STRING", [("2024-05-06 07:08:00",), ("no time",), (None,)])
+    assert len(rows(catalog, "SELECT a.t FROM a JOIN b ON a.t = b.t")) == 1 == len(rows(catalog, "SELECT t FROM a WHERE t = '2024-05-06 07:08:00'"))
+
+
 def test_cross_table_and_inside_or(shop):
     text = "SELECT o.id, l.sku FROM orders o JOIN lineitem l ON o.id = l.order_id WHERE (o.year = 2024 AND l.sku = 'gadget') OR o.id = 3"
     assert sorted(rows(shop, text)) == [(1, "gadget"), (3, "widget"), (4, "gadget")] == sorted(rows(shop, text, pushdown=False))

@@ -91,7 +91,7 @@ class Filter(Node):
 
     def build(self, df: DataFrame) -> DataFrame:
         true = holds(self.condition, self.scope)
-        return df.where(F.when(F.rand(0) >= 0, true) if self.pinned else true)
+        return df.where(F.when(F.spark_partition_id() >= 0, true) if self.pinned else true)
 
 
 @dataclass(eq=False)

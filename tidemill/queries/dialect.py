@@ -176,11 +176,13 @@ def analyze_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(flat(engine.explain_analyze(catalog(spark, d), _ANALYZED).plan), "label string, actual_rows bigint")
 
 
-def explain_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of a plan whose joins the cost model has moved."""
-    text = "SELECT l.l_orderkey AS k FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE n.n_name = 'CHINA'"
-    lines = engine.explain(catalog(spark, d), text).splitlines()
-    return spark.createDataFrame(list(enumerate(lines)), "line bigint, text string")
+def explain_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Rows the cost model expects of every node of the same query."""
+
+    def flat(plan) -> list[tuple[str, float]]:
+        return [(plan.label, round(plan.estimated_rows, 3)), *[row for c in plan.children for row in flat(c)]]
+
+    return spark.createDataFrame(flat(engine.explain_analyze(catalog(spark, d), _ANALYZED).plan), "label string, estimated_rows double")
 
 
 def statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +202,7 @@ QUERIES = {name: _query(text, options) for name, (text, _, options) in TEXTS.ite
     "snapshot_history": snapshot_history,
     "csv_round_trip": csv_round_trip,
     "analyze_counts": analyze_counts,
-    "explain_plan": explain_plan,
+    "explain_estimates": explain_estimates,
     "statistics": statistics,
 }
 ORACLE = {name: oracle or text for name, (text, oracle, _) in TEXTS.items()} | {
@@ -216,7 +218,9 @@ ORACLE = {name: oracle or text for name, (text, oracle, _) in TEXTS.items()} | {
 SELECT 'Project s, n' AS label, count(DISTINCT c_mktsegment) AS actual_rows FROM j UNION ALL SELECT 'HashAggregate group_by=[c.c_mktsegment] aggs=[n]', count(DISTINCT c_mktsegment) FROM j
 UNION ALL SELECT 'HashJoin c.c_custkey = o.o_custkey', count(*) FROM j UNION ALL SELECT 'Scan c', count(*) FROM customer
 UNION ALL SELECT 'Filter o.o_orderstatus = ''F''', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'Scan o', count(*) FROM orders""",
-    "explain_plan": """SELECT CAST(line AS BIGINT) AS line, text FROM (VALUES (0, 'Project k'), (1, '  Reorder to declared column order'), (2, '    HashJoin s.s_suppkey = l.l_suppkey'),
-  (3, '      HashJoin n.n_nationkey = s.s_nationkey'), (4, '        Filter n.n_name = ''CHINA'''), (5, '          Scan n'), (6, '        Scan s'), (7, '      Scan l')) AS p(line, text)""",
+    "explain_estimates": """WITH c AS (SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys, count(DISTINCT c_mktsegment) AS segments FROM customer),
+o AS (SELECT count(*) AS n, count(DISTINCT o_custkey) AS keys, count(*) / count(DISTINCT o_orderstatus) AS kept FROM orders), j AS (SELECT c.n * o.kept / greatest(c.keys, o.keys) AS rows, segments FROM c, o)
+SELECT 'Project s, n' AS label, CAST(round(least(rows, segments), 3) AS DOUBLE) AS estimated_rows FROM j UNION ALL SELECT 'HashAggregate group_by=[c.c_mktsegment] aggs=[n]', round(least(rows, segments), 3) FROM j
+UNION ALL SELECT 'HashJoin c.c_custkey = o.o_custkey', round(rows, 3) FROM j UNION ALL SELECT 'Scan c', n FROM c UNION ALL SELECT 'Filter o.o_orderstatus = ''F''', round(kept, 3) FROM o UNION ALL SELECT 'Scan o', n FROM o""",
     "statistics": "SELECT 's_nationkey' AS column_name, count(*) AS row_count, count(DISTINCT s_nationkey) AS ndv FROM supplier UNION ALL SELECT 's_suppkey', count(*), count(DISTINCT s_suppkey) FROM supplier",
 }
