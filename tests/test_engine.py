@@ -244,7 +244,7 @@ def test_pushdown_off_holds_in_what_spark_runs(spark, tmp_path):
 
 
 def test_orders_of_small_and_large_tables(spark, tmp_path, monkeypatch):
-    """With one large table only its rows are counted; with two their keys are too."""
+    """One large table is not read for statistics; two are. Those of small files are kept until the files change."""
     from tidemill.plans import stats
 
     catalog = Catalog(spark)
@@ -254,7 +254,18 @@ def test_orders_of_small_and_large_tables(spark, tmp_path, monkeypatch):
     large = {"f"}
     monkeypatch.setattr(stats, "small", lambda table: table.name not in large)
     plan = lines(catalog, STAR)
-    assert catalog.stats["f"][1] == stats.TableStats(1000) and catalog.stats["t"][1].ndv == {"id": 3}
+    assert "f" not in catalog.stats and catalog.stats["t"][1].ndv == {"id": 3}
+    again = Catalog(spark)
+    again.load_parquet("t", tmp_path / "t")
+    assert stats.table_stats(again, again.get("t"), {"id"}) is catalog.stats["t"][1]
+    spark.range(7).selectExpr("id", "id AS dim_id", "id AS tiny_id", "'x' AS label").write.mode("overwrite").parquet(str(tmp_path / "t"))
+    again.load_parquet("t", tmp_path / "t")
+    assert stats.table_stats(again, again.get("t"), {"id"}) == stats.TableStats(7, {"id": 7})
+    again.register_frame("one", spark.read.parquet(str(tmp_path / "t")).selectExpr("id * 0 AS id", "dim_id", "tiny_id", "label"))
+    again.register_frame("none", spark.read.parquet(str(tmp_path / "t")).where("id < 0"))
+    assert [stats.table_stats(again, again.get(t), {"id"}) for t in ("one", "none")] == [stats.TableStats(7, {"id": 1}), stats.TableStats(0, {"id": 0})]
+    spark.range(3).selectExpr("id", "id AS dim_id", "id AS tiny_id", "'x' AS label").write.mode("overwrite").parquet(str(tmp_path / "t"))
+    catalog.load_parquet("t", tmp_path / "t")
     catalog.stats.clear()
     large.add("d")
     assert lines(catalog, STAR) == plan and catalog.stats["f"][1].ndv == {"dim_id": 40, "tiny_id": 3} and "Reorder" in plan[1]

@@ -24,11 +24,37 @@ class TableStats:
         return max(1, self.ndv.get(column, 1))
 
 
+#: Statistics of small tables by what their files are – names, sizes and times of change – for every catalog of the process.
+_KEPT: dict[tuple, TableStats] = {}
+
+
 def bytes_of(table: Table) -> int:
     """Size of a table as Spark's optimizer sees it: that of its files, or more than any where it can't tell. Runs nothing."""
     return int(str(table.frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _files_of(table: Table) -> tuple:
+    """What identifies the content of a small table that is read from files as they are; empty for any other."""
+    kind = lambda node: node.getClass().getSimpleName()
+    plan, read = table.frame._jdf.queryExecution().optimizedPlan(), []
+    if kind(plan) == "Project":  # columns may be renamed, not computed
+        for i in range(plan.projectList().size()):
+            column = plan.projectList().apply(i)
+            column = column.child() if kind(column) == "Alias" else column
+            if kind(column) != "AttributeReference":
+                return ()
+            read.append(column.name())
+        plan = plan.child()
+    if kind(plan) != "LogicalRelation":
+        return ()
+    spark, found = table.frame.sparkSession, []
+    for name in sorted(table.frame.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return (table.columns, *read, *found)
+
+
 def small(table: Table) -> bool:
     """Whether Spark would broadcast the table; its columns may then come to the driver too."""
     limit = table.frame.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
@@ -56,7 +82,12 @@ def table_stats(catalog: Catalog, table: Table, columns: set[str]) -> TableStats
     Counted exactly whatever the size: of tables that Spark would broadcast on the driver, from just those columns, of others in one pass.
     """
     known = catalog.stats.get(table.name)
-    stats = known[1] if known is not None and known[0] is table else TableStats(-1)
+    stats = known[1] if known is not None and known[0] is table else None
+    if stats is None:
+        files = _files_of(table) if table.local is None and small(table) else ()
+        stats = _KEPT.setdefault(files, TableStats(-1)) if files else TableStats(-1)
+        if stats.row_count >= 0:
+            catalog.stats[table.name] = (table, stats)
     wanted = {c: F.col(f"c{i}") for i, c in reversed(list(enumerate(table.columns))) if c in columns and c not in stats.ndv}
     if stats.row_count < 0 or wanted:
         row = _counted_here(table, list(wanted)) if wanted and small(table) else None
@@ -71,15 +102,18 @@ def table_stats(catalog: Catalog, table: Table, columns: set[str]) -> TableStats
 def gather(catalog: Catalog, wanted: Sequence[tuple[Table, set[str]]]) -> list[TableStats]:
     """Statistics of several tables, computed side by side.
 
-    Where all tables but one are small, every order runs as broadcasts into that one. Then nothing but its rows is counted, which
-    Parquet has in its footers, and its keys are taken to have the values of their partners.
+    Where all tables but one are small, every order runs as broadcasts into that one. Then it isn't read for statistics: its rows are
+    taken from its size, its keys to have the values of their partners.
     """
     merged: dict[str, tuple[Table, set[str]]] = {}
     for table, columns in wanted:
         merged[table.name] = (table, merged.get(table.name, (table, set()))[1] | columns)
     large = [name for name, (table, _) in merged.items() if not small(table)]
-    if len(large) == 1 and sum(t.name == large[0] for t, _ in wanted) == 1:
-        merged[large[0]] = (merged[large[0]][0], set())
+    alone = merged.pop(large[0])[0] if len(large) == 1 and sum(t.name == large[0] for t, _ in wanted) == 1 else None
     with ThreadPoolExecutor(len(merged) or 1) as pool:
         found = dict(zip(merged, pool.map(lambda tc: table_stats(catalog, *tc), merged.values())))
+    if alone is not None:
+        known = catalog.stats.get(alone.name)
+        width = int(alone.frame._jdf.schema().defaultSize())
+        found[alone.name] = known[1] if known and known[0] is alone else TableStats(max(1, bytes_of(alone) // max(1, width)))
     return [found[table.name] for table, _ in wanted]
