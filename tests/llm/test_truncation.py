@@ -48,8 +48,8 @@ def test_pages():
 
 def test_examine():
     got = tr.examine("Full sentence. Another one", None, "HTTP/1.1 200 OK\r\nContent-Length: 400\r\nContent-Encoding: gzip\r\n")
-    assert got == (26, 26, 1, "sentence", None, 400, True)
-    assert tr.examine("Home | Shop | News", None, "broken headers\x00")[3:] == ("line", None, None, False)
+    assert got == (26, 26, 1, 0, "sentence", None, 400, True)
+    assert tr.examine("Home | Shop | News", None, "broken headers\x00")[3:] == (0, "line", None, None, False) and tr.examine("1 < 2 & 3 > 2", None, None)[3] == 10
 
 
 @pytest.mark.parametrize(

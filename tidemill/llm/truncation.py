@@ -28,7 +28,7 @@ from tidemill.runtime import cut, ship
 
 NO_SOURCE = "\0"
 
-FEATURES = "n_chars long, n_bytes long, n_lines long, state string, page string, promised long, zipped boolean"
+FEATURES = "n_chars long, n_bytes long, n_lines long, escaped long, state string, page string, promised long, zipped boolean"
 #: End states of the automaton that leave something open, and those that do not.
 OPEN = ("markup", "entity", "escape", "bytes", "quote", "bracket", "element", "space", "sentence", "clause", "left", "line")
 CLOSED = ("ended", "ellipsis", "blank")
@@ -225,10 +225,16 @@ def page_state(text: str, page: bytes | None) -> str | None:
 
 
 def examine(text: str, page: bytes | None, headers: str | None) -> tuple:
-    """The features of one document, see ``FEATURES``; ``text`` is not empty."""
+    """The features of one document, see ``FEATURES``; ``text`` is not empty.
+
+    ``escaped`` is what a page writes more for the text's <, > and &. Where a text ends in its page is only asked of texts that may be truncated.
+    """
+    state = end_state(text)
+    escaped = 3 * (text.count("<") + text.count(">")) + 4 * text.count("&")
+    place = page_state(text, page) if page and (state in OPEN or state == "ellipsis") else None
     length = _LENGTH.search(headers.replace("\r", "")) if headers else None
     zipped = bool(headers and _ZIPPED.search(headers))
-    return (len(text), len(text.encode("utf-8", "surrogatepass")), text.count("\n") + 1, end_state(text), page_state(text, page), int(length[1]) if length else None, zipped)
+    return (len(text), len(text.encode("utf-8", "surrogatepass")), text.count("\n") + 1, escaped, state, place, int(length[1]) if length else None, zipped)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -247,10 +253,11 @@ def features(docs: DataFrame) -> DataFrame:
 
     text = F.col("text")
     same = F.xxhash64(F.when(F.length(text) <= 120, text).otherwise(F.substring(text, F.length(text) - 120, 60))).alias("same")
-    # What a page writes for the text's <, > and &.
-    escaped = (F.octet_length(F.regexp_replace(text, "[^<>]", "")) * 3 + F.octet_length(F.regexp_replace(text, "[^&]", "")) * 4).alias("escaped")
-    given = docs.where(F.length(text) > 0).select("doc_id", "source", same, escaped, F.struct("text", F.col("raw_bytes").alias("page"), "headers").alias("d"))
-    return given.withColumn("f", run("d")).select("doc_id", "source", "same", "escaped", "f.*")
+    # Pages of texts that plainly end with a terminator stay in the JVM.
+    tail = F.rtrim(F.right(text, F.lit(40)))
+    page = F.when(~tail.rlike(r"(?<!\.\.)[.!?。！？][\"'”’»)\]）」』]*\z") | F.contains(text, F.lit("<")), F.col("raw_bytes"))
+    given = docs.where(F.length(text) > 0).select("doc_id", "source", same, F.struct("text", page.alias("page"), "headers").alias("d"))
+    return given.withColumn("f", run("d")).select("doc_id", "source", "same", "f.*")
 
 
 def limits(seen: DataFrame) -> DataFrame:
