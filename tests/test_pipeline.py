@@ -118,6 +118,22 @@ def test_records_outputs(spark):
     assert [r.reason for r in read_records(one, none, CELLS).collect()] == ["no_file"]
 
 
+def test_any_number_of_headers(spark, monkeypatch):
+    """Headers of one mark and the same kinds in the same order share a reader; beyond the most readers the second pass gives the same rows."""
+    names = [f"n{i}" for i in range(40)]
+    files = [(i, "orders", f"{n};id;region" if i % 2 else f"year;{n};id", ";") for i, n in enumerate(names)]
+    df = spark.createDataFrame(files, "file_id long, target_name string, header_line string, cell_mark string")
+    raws = [(i * 3 + k, i, raw) for i in range(40) for k, raw in enumerate(("2024;7;8", '"a;b";1_0;c', "1;2"))]
+    records = spark.createDataFrame(raws, "record_id long, file_id long, raw_line string")
+    got = sorted(map(tuple, read_records(records, df, CELLS).collect()))
+    from tidemill.sources import delimited
+
+    for most in (1, 0):
+        monkeypatch.setattr(delimited, "MOST_LAYOUTS", most)
+        assert sorted(map(tuple, read_records(records, df, CELLS).collect())) == got
+    assert len(got) == 120 and {r[3] for r in got} == {None, "column_count", "bad_value"}
+
+
 def test_int_cell(spark):
     df = spark.createDataFrame([("+7",), (" -07 ",), ("1_0",), ("",), (" ",), ("1e3",), ("1.0",), (None,), ("+",), ("1" + "_1" * 20_000,)], "c string")
     assert [r[0] for r in df.select(int_cell(F.col("c"))).collect()] == [7, -7, 10, None, None, None, None, None, None, None]

@@ -22,6 +22,8 @@ from tidemill.runtime import cut
 CORRUPT = "__corrupt"
 #: Above this number of marks a record isn't handed to the reader, whose column buffer is fixed; the second pass takes it.
 READER_COLUMNS = 20_000
+#: Layouts that get a reader of their own.
+MOST_LAYOUTS = 256
 
 
 @dataclass(frozen=True)
@@ -76,8 +78,10 @@ def split_quoted(line: Column, mark: Column) -> tuple[Column, Column]:
     return is_sound, cells
 
 
-def _header_cells(header: str, mark: str) -> list[str]:
-    return [cell.strip().strip('"') for cell in header.rstrip("\r").split(mark)]
+def _header_cells(header: Column, mark: Column) -> Column:
+    """Names in a header, without spaces and quotes around them."""
+    cells = F.split(F.regexp_replace(header, r"\r+\z", ""), F.concat(F.lit(r"\Q"), mark, F.lit(r"\E")), -1)
+    return F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(c, r"\A\s+|\s+\z", ""), r'\A"+|"+\z', ""))
 
 
 def read_records(
@@ -106,22 +110,25 @@ def read_records(
     that is not in ``columns`` is read as text and dropped; a header that names a column twice yields its first
     cell; extra columns of either table are ignored, whatever their names; a record may be of any length.
 
-    The distinct (header, mark) pairs are collected to the driver: they are the layouts in which the
-    sources deliver, not data, and do not grow with the records. The join with ``files`` is left to Spark.
+    What reaches the driver are the layouts, the distinct pairs of a mark and of the kinds of cells in their order, whatever the names: a few for
+    columns of two kinds, however many files and headers there are. Of more than ``MOST_LAYOUTS`` the others are left to the second pass,
+    which reads any. The join with ``files`` is left to Spark.
     """
     files = files.select(
         F.col(file_id).alias("f_id"), F.col(target).alias("f_target"), F.col(header_line).alias("f_header"), F.col(cell_mark).alias("f_mark")
     ).where(F.col("f_id").isNotNull() & F.col("f_header").isNotNull() & (F.length("f_mark") == 1))
-    layouts = sorted((r[0], r[1]) for r in files.select("f_header", "f_mark").distinct().collect())
-    heads = [_header_cells(*layout) for layout in layouts]
+    # What a header means is worked out once per file, not per record: its width, the place of each column in it, and the kinds of its cells.
+    whole = [n for n, kind in columns.items() if isinstance(kind, IntCell)]
+    names = F.col("names")
+    places = [F.nullif(F.array_position(names, n), F.lit(0)).cast("int") - 1 for n in columns]
+    files = files.withColumn("names", _header_cells(F.col("f_header"), F.col("f_mark")))
+    files = files.withColumn("head", F.struct(F.size("names").alias("width"), *[at.alias(f"at{i}") for i, at in enumerate(places)]))
+    files = files.withColumn("kinds", F.array_join(F.transform(names, lambda n: F.when(n.isin(whole), "i").otherwise("t")), "")).drop("names", "f_header")
+    layouts = sorted((r[0], r[1]) for r in files.select("kinds", "f_mark").distinct().limit(MOST_LAYOUTS).collect())
     number = F.lit(None).cast("int")
-    for k, (header, mark) in reversed(list(enumerate(layouts))):
-        number = F.when((F.col("f_header") == header) & (F.col("f_mark") == mark), F.lit(k)).otherwise(number)
-    # What a header means is worked out once per file, not per record: its width and the place of each column in it.
-    facts = [F.struct(F.lit(len(h)).alias("width"), *[F.lit(h.index(n) if n in h else None).cast("int").alias(f"at{i}") for i, n in enumerate(columns)]) for h in heads]
-    files = files.withColumn("layout", number)
-    kind = ", ".join(["width: int"] + [f"at{i}: int" for i in range(len(columns))])
-    files = files.withColumn("head", F.get(F.array(*facts), F.col("layout")) if facts else F.lit(None).cast(f"struct<{kind}>"))
+    for k, (kinds, mark) in reversed(list(enumerate(layouts))):
+        number = F.when((F.col("kinds") == kinds) & (F.col("f_mark") == mark), F.lit(k)).otherwise(number)
+    files = files.withColumn("layout", number).drop("kinds")
 
     raw = F.col(raw_line)
     lines = records.select(
@@ -130,20 +137,17 @@ def read_records(
     joined = lines.join(files, lines.r_file == files.f_id, "left")
     mark, width = F.col("f_mark"), F.col("head.width")
 
-    # Pass 1: the permissive reader, one explicit schema per layout, brought to one shape.
+    # Pass 1: the permissive reader, one explicit schema per layout, its cells by kind and place.
     simple = F.length("line") - F.length(F.replace(F.col("line"), mark, F.lit(""))) < READER_COLUMNS
-    shape = ", ".join([f"`t{i}`: {_sql_type(k)}" for i, k in enumerate(columns.values())] + [f"`{CORRUPT}`: STRING"])
-    parsed = F.lit(None).cast(f"struct<{shape}>")
-    for k, (head, (_, sep)) in enumerate(zip(heads, layouts)):
-        fields = ", ".join(f"`c{i}` {_sql_type(columns.get(name))}" for i, name in enumerate(head))
+    parsed = F.lit(None).cast(f"struct<i: array<bigint>, t: array<string>, {CORRUPT}: string>")
+    for k, (kinds, sep) in enumerate(layouts):
+        fields = ", ".join(f"`c{i}` {'BIGINT' if kind == 'i' else 'STRING'}" for i, kind in enumerate(kinds))
         options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "sep": "\\\\" if sep == "\\" else sep, "quote": '"', "escape": '"', "maxColumns": str(READER_COLUMNS + 480), "maxCharsPerColumn": "-1", "inputBufferSize": "4096"}
         read = F.from_csv(F.col("line"), f"{fields}, `{CORRUPT}` STRING", options)
 
-        places = [head.index(n) if n in head else None for n in columns]
-
         def shaped(row: Column) -> Column:
-            cells = [F.lit(None) if at is None else row[f"c{at}"] for at in places]
-            return F.struct(*[c.cast(_sql_type(kind)).alias(f"t{i}") for i, (c, kind) in enumerate(zip(cells, columns.values()))], row[CORRUPT].alias(CORRUPT))
+            sides = [F.array(*[row[f"c{i}"] if kind == side else F.lit(None).cast(to) for i, kind in enumerate(kinds)]).alias(side) for side, to in (("i", "bigint"), ("t", "string"))]
+            return F.struct(*sides, row[CORRUPT].alias(CORRUPT))
 
         parsed = F.when((F.col("layout") == k) & simple, F.get(F.transform(F.array(read), shaped), F.lit(0))).otherwise(parsed)
     lenient = F.col("line").rlike(r'["\x00-\x08\x0a-\x1f\x7f]|[^\x00-\x7f]')
@@ -152,10 +156,10 @@ def read_records(
     # Pass 2: what the reader found corrupt, or may have been lenient with.
     again = F.col("again")
     sound, cells = split_quoted(F.col("line"), mark)
-    second = first.withColumn("sound", F.when(again & F.col("layout").isNotNull(), sound)).withColumn("cells", F.when(F.col("sound"), cells))
+    second = first.withColumn("sound", F.when(again & width.isNotNull(), sound)).withColumn("cells", F.when(F.col("sound"), cells))
     second = second.withColumn("fits", F.size("cells") == width)
     second = second.withColumns({f"s{i}": F.when(F.col("fits"), F.nullif(F.get("cells", F.col(f"head.at{i}")), F.lit(""))) for i in range(len(columns))})
-    second = second.withColumns({f"v{i}": F.when(again, int_cell(F.col(f"s{i}")) if isinstance(kind, IntCell) else F.col(f"s{i}")).otherwise(F.col(f"parsed.t{i}")) for i, kind in enumerate(columns.values())})
+    second = second.withColumns({f"v{i}": F.when(again, int_cell(F.col(f"s{i}")) if isinstance(kind, IntCell) else F.col(f"s{i}")).otherwise(F.get(F.col(f"parsed.{'i' if isinstance(kind, IntCell) else 't'}"), F.col(f"head.at{i}"))) for i, kind in enumerate(columns.values())})
     bad = F.lit(None).cast("string")
     for i, (name, kind) in reversed(list(enumerate(columns.items()))):
         if isinstance(kind, IntCell):
@@ -169,7 +173,7 @@ def read_records(
                 wrong = wrong | (F.col(f"head.at{i}").isNotNull() & value.isNull())
             bad = F.when(wrong, F.lit(name)).otherwise(bad)
     reason = (
-        F.when(F.col("layout").isNull(), F.lit("no_file"))
+        F.when(width.isNull(), F.lit("no_file"))
         .when(again & ~F.col("sound"), F.lit("quoting"))
         .when(again & ~F.col("fits"), F.lit("column_count"))
         .when(F.col("bad").isNotNull(), F.lit("bad_value"))
@@ -185,10 +189,6 @@ def read_records(
     return cut(loaded)
 
 
-def _sql_type(kind: Cell | None) -> str:
-    return "BIGINT" if isinstance(kind, IntCell) else "STRING"
-
-
 def valid_rows(parsed: DataFrame, target: str, columns: list[str]) -> DataFrame:
     """The typed valid rows meant for one target table."""
     return parsed.where(F.col("reason").isNull() & (F.col("target") == target)).select("record_id", *[F.col(f"v_{c}").alias(c) for c in columns])
