@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.runtime import ship
 
@@ -33,19 +34,24 @@ def group_codes(columns: list[pa.ChunkedArray], rows: int) -> tuple[np.ndarray,
     return codes, np.unique(codes, return_index=True)[1]
 
 
-def combine(df: DataFrame, reduce: Reducer, keys: list[str], ordered: bool = False) -> DataFrame:
+Prepare = Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
+
+
+def combine(df: DataFrame, reduce: Reducer, keys: list[str], ordered: bool = False, prepare: Prepare | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Apply ``reduce`` within each partition of ``df``, whose columns are ``keys`` and the state, in one row or a few.
 
     Unordered (before a shuffle), a task whose groups outgrow its memory emits what it has and goes on: a group
     may then come out in several partial states. Ordered (after a shuffle, rows sorted by ``keys``) each group comes
-    out once, as soon as the next one begins; only the group at the end of a batch is carried over.
+    out once, as soon as the next one begins; only the group at the end of a batch is carried over. ``prepare`` makes states, of ``schema``, of the
+    rows of ``df`` where they aren't any yet.
     """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return stream(batches, reduce, keys if ordered else None)
+        states = batches if prepare is None else (s for b in batches for s in prepare(b))
+        return stream(states, reduce, keys if ordered else None)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema or df.schema)
 
 
 def stream(batches: Iterator[pa.RecordBatch], reduce: Reducer, ordered: list[str] | None, gather: int = GATHER, keep: int = KEEP) -> Iterator[pa.RecordBatch]:

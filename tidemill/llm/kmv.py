@@ -9,12 +9,14 @@ split of the rows, of days, regions or loads, give the sketch of their union.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm.arrow_agg import combine, group_codes, merge
 
@@ -50,6 +52,31 @@ def partial_sketches(df: DataFrame, keys: list[str], value: Column, k: int = K)
     return combine(hashed, partial(_smallest, keys=keys, k=k), keys)
 
 
+def _by_column(batch: pa.RecordBatch, keys: list[str], used: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
+    """States of one row each of every counted column: ``keys``, where a key the column does not use is NULL, ``column_name`` and ``hashes``."""
+    nothing = {k: pa.nulls(batch.num_rows, batch.schema.field(k).type) for k in keys}
+    for i, (column, own) in enumerate(used.items()):
+        given = batch.column(f"h{i}")
+        there = given.is_valid()
+        hashes = given.filter(there)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1, dtype=np.int32)), hashes)
+        taken = [(batch.column(k) if k in own else nothing[k]).filter(there) for k in keys]
+        yield pa.RecordBatch.from_arrays([*taken, pa.array([column] * len(hashes), pa.string()), lists], [*keys, "column_name", "hashes"])
+
+
+def partial_sketches_of(df: DataFrame, keys: list[str], values: dict[str, Column], used: dict[str, list[str]], k: int = K) -> DataFrame:
+    """``keys, column_name, hashes`` with the sketches of each task's rows for several columns at once.
+
+    ``values``: what is counted, by name; ``used``: the keys each is grouped by, the others being NULL for it. A row goes to Python once, whatever the number
+    of columns. NULL values count for nothing and open no group.
+    """
+    names = list(values)
+    wide = df.select(*keys, *[F.when(values[c].isNotNull(), F.xxhash64(values[c])).alias(f"h{i}") for i, c in enumerate(names)])
+    state = T.StructType([*[wide.schema[c] for c in keys], T.StructField("column_name", T.StringType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    all_keys = [*keys, "column_name"]
+    return combine(wide, partial(_smallest, keys=all_keys, k=k), all_keys, prepare=partial(_by_column, keys=keys, used={c: used[c] for c in names}), schema=state)
+
+
 def grouping_sets(partials: DataFrame, dims: list[str], sets: list[tuple[str, ...]], fixed: list[str], k: int = K, only: dict[tuple[str, ...], Column] | None = None) -> DataFrame:
     """Partial sketches of each grouping set, from those of the finest groups: the rows are hashed and sorted once.
 
@@ -80,9 +107,15 @@ def estimate(hashes: Column, k: int = K) -> Column:
 
 
 def bounds(hashes: Column, k: int = K, z: float = Z) -> tuple[Column, Column]:
-    """Lower and upper bound, ``z`` standard errors either side; both the number itself below k. A k too small for ``z`` has no upper bound."""
-    error = F.when(F.size(hashes) < k, 0.0).otherwise(z / (k - 2.0) ** 0.5)
-    return estimate(hashes, k) / (1 + error), F.when(error < 1, estimate(hashes, k) / (1 - error)).otherwise(F.lit(float("inf")))
+    """Lower and upper bound of the number of distinct values, ``z`` standard errors either side; both the number itself below k.
+
+    The k-th smallest hash, times the number, is spread as the sum of k exponential waiting times at most. The bounds are that
+    distribution's quantiles (by the cube root's normal approximation), so they hold for small k as well, where it is skewed.
+    """
+    quantile = lambda side: k * max(0.0, 1 - 1 / (9 * k) + side * z / (3 * k**0.5)) ** 3
+    full, share = F.size(hashes) >= k, _share(F.element_at(hashes, -1))
+    low, high = (F.when(full, F.lit(quantile(side)) / share).otherwise(estimate(hashes, k)) for side in (-1, 1))
+    return F.when(full, F.greatest(low, F.lit(float(k)))).otherwise(low), high
 
 
 def union_of(a: Column, b: Column, k: int = K) -> Column:

@@ -18,21 +18,19 @@ from tidemill.runtime import cut, table
 DIMS = ["load_no", "day", "region", "year", "sku"]
 
 
-def _tall(spark: SparkSession, d: str, ids: dict[str, tuple[str, ...]], day: bool) -> dict[str, DataFrame]:
-    """Per table: ``table_name, column_name, DIMS, id`` for the counted columns; ``id`` is the value as text."""
-    out = {}
-    for name, columns in ids.items():
-        df = table(spark, d, name)
-        have = set(df.columns)
-        dims = [
-            "load_no",
-            (F.to_date("loaded_at") if day else F.lit(None).cast("date")).alias("day"),
-            *[(F.col(c) if c in have else F.lit(None).cast(kind)).alias(c) for c, kind in (("region", "string"), ("year", "bigint"), ("sku", "string"))],
-        ]
-        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.xxhash64(c).alias("id"), F.col(c).isNotNull().alias("there")) for c in columns])
-        spread = df.select(F.lit(name).alias("table_name"), *dims, F.explode(pairs).alias("p"))
-        out[name] = spread.select("table_name", "p.column_name", *DIMS, F.when(F.col("p.there"), F.col("p.id")).alias("id"))
-    return out
+def _dims(df: DataFrame, day: bool) -> list[Column]:
+    """``DIMS`` of a table, NULL where it has none or the day isn't asked for."""
+    have = set(df.columns)
+    own = [(F.col(c) if c in have else F.lit(None).cast(kind)).alias(c) for c, kind in (("region", "string"), ("year", "bigint"), ("sku", "string"))]
+    return [F.col("load_no"), (F.to_date("loaded_at") if day else F.lit(None).cast("date")).alias("day"), *own]
+
+
+def _tall(spark: SparkSession, d: str, name: str, columns: tuple[str, ...]) -> DataFrame:
+    """``table_name, column_name, DIMS, id`` of the counted columns' values that aren't NULL."""
+    df = table(spark, d, name)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.xxhash64(c).alias("id"), F.col(c).isNotNull().alias("there")) for c in columns])
+    spread = df.select(F.lit(name).alias("table_name"), *_dims(df, day=False), F.explode(pairs).alias("p"))
+    return spread.where("p.there").select("table_name", "p.column_name", *DIMS, "p.id")
 
 
 def _subsets(dims: list[str]) -> list[tuple[str, ...]]:
@@ -45,21 +43,15 @@ FIXED = ["table_name", "column_name"]
 K = kmv.K
 
 
-def _sketches(tall: DataFrame, sets: list[tuple[str, ...]], only: dict[tuple[str, ...], Column] | None = None, k: int | None = None) -> DataFrame:
-    k = k or K
-    finest = kmv.partial_sketches(tall, [*FIXED, *DIMS], F.col("id"), k)
-    spread = kmv.grouping_sets(finest, DIMS, sets, FIXED, k, only)
-    return kmv.merge_sketches(spread, [*FIXED, "grouped", *DIMS], k, tasks=scan_tasks(tall))
-
-
-def _asked_sketches(tall: DataFrame, asked: dict[str, set[tuple[str, ...]]]) -> DataFrame:
-    """Sketches of the grouping sets asked for per column; a dimension no set of a column has is left out of its finest groups."""
+def _sketches(spark: SparkSession, d: str, name: str, asked: dict[str, set[tuple[str, ...]]], day: bool = False, k: int | None = None) -> DataFrame:
+    """Sketches of the grouping sets asked for per column of a table; a dimension no set of a column has is left out of its finest groups."""
+    k, df = k or K, table(spark, d, name)
+    used = {c: [dim for dim in DIMS if any(dim in s for s in own)] for c, own in asked.items()}
+    finest = kmv.partial_sketches_of(df.select(*_dims(df, day), *[F.col(c).alias(f"v_{c}") for c in asked]), DIMS, {c: F.col(f"v_{c}") for c in asked}, used, k)
     sets = sorted(set().union(*asked.values()))
-    column = F.col("column_name")
-    slim = [F.when(column.isin([c for c, own in asked.items() if any(d in s for s in own)]), F.col(d)).alias(d) for d in DIMS]
-    wanted = tall.where(column.isin(sorted(asked))).select(*FIXED, *slim, "id")
-    only = {s: column.isin([c for c, own in asked.items() if s in own]) for s in sets}
-    return _sketches(wanted, sets, only)
+    only = {s: F.col("column_name").isin([c for c, own in asked.items() if s in own]) for s in sets}
+    spread = kmv.grouping_sets(finest, DIMS, sets, ["column_name"], k, only)
+    return kmv.merge_sketches(spread, ["column_name", "grouped", *DIMS], k, tasks=scan_tasks(df)).withColumn("table_name", F.lit(name))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,11 +65,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     known = reduce(lambda x, y: x | y, [(F.col("table_name") == t) & F.col("column_name").isin(*cs) for t, cs in ids.items()])
     stats = table(spark, d, "table_stats").where(F.col("ndv").isNotNull() & F.col("load_no").isNotNull() & known)
     asked = stats.select("stat_id", *FIXED, "load_no", "region", "year", "sku", "ndv", F.concat_ws(",", F.lit("load_no"), *limits).alias("grouped"))
-    tall = _tall(spark, d, ids, day=False)
     combos: dict[str, dict[str, set[tuple[str, ...]]]] = {t: {} for t in ids}
     for r in asked.select(*FIXED, "grouped").distinct().collect():  # columns times sets of dimensions at most
         combos[r["table_name"]].setdefault(r["column_name"], set()).add(tuple(r["grouped"].split(",")))
-    parts = [_asked_sketches(tall[t], c) for t, c in combos.items() if c]
+    parts = [_sketches(spark, d, t, c) for t, c in combos.items() if c]
     if not parts:
         return asked.select("stat_id").limit(0)
     low, high = kmv.bounds(F.col("hashes"), K)
@@ -88,6 +79,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     sound = (F.col("ndv") <= 1.2 * F.col("low")) & (F.col("ndv") >= 0.8 * F.col("high"))
     judged = cut(held.withColumn("verdict", F.when(F.col("low") == F.col("high"), F.abs(F.col("ndv") - F.col("low")) > 0.2 * F.col("low")).when(wrong, F.lit(True)).when(sound, F.lit(False))))
     found = judged.where(F.col("verdict")).select("stat_id")
+    tall = {t: _tall(spark, d, t, columns) for t, columns in ids.items()}
     exact = _counted(tall, judged.where(F.col("verdict").isNull()))
     return found if exact is None else found.unionByName(exact.where(F.abs(F.col("ndv") - F.col("true_ndv")) > 0.2 * F.col("true_ndv")).select("stat_id"))
 
@@ -102,7 +94,7 @@ def _counted(tall: dict[str, DataFrame], records: DataFrame) -> DataFrame | None
     for r in records.select("table_name", "grouped").distinct().collect():  # tables times sets of dimensions at most
         keys = [*FIXED, *r["grouped"].split(",")]
         asked = records.where((F.col("table_name") == r["table_name"]) & (F.col("grouped") == r["grouped"])).select("stat_id", "ndv", *keys)
-        rows = tall[r["table_name"]].where(F.col("id").isNotNull()).join(asked.select(*keys).distinct(), keys, "left_semi")
+        rows = tall[r["table_name"]].join(asked.select(*keys).distinct(), keys, "left_semi")
         counts = rows.select(*keys, "id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("true_ndv"))
         parts.append(asked.join(counts, keys, "left").select("stat_id", "ndv", F.coalesce("true_ndv", F.lit(0)).alias("true_ndv")))
     return reduce(DataFrame.unionByName, parts) if parts else None
@@ -110,9 +102,8 @@ def _counted(tall: dict[str, DataFrame], records: DataFrame) -> DataFrame | None
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct customers and orders per load, day, region, year and sku and every combination of these, with bounds."""
-    tall = _tall(spark, d, {"shop_orders": ("customer_id",), "shop_lineitem": ("order_id",)}, day=True)
-    orders = _sketches(tall["shop_orders"], _subsets(["load_no", "day", "region", "year"]))
-    lines = _sketches(tall["shop_lineitem"], _subsets(["load_no", "day", "sku"]))
+    orders = _sketches(spark, d, "shop_orders", {"customer_id": set(_subsets(["load_no", "day", "region", "year"]))}, day=True)
+    lines = _sketches(spark, d, "shop_lineitem", {"order_id": set(_subsets(["load_no", "day", "sku"]))}, day=True)
     low, high = kmv.bounds(F.col("hashes"))
     return orders.unionByName(lines).select(*FIXED, "grouped", *DIMS, kmv.estimate(F.col("hashes")).alias("ndv"), low.alias("low"), high.alias("high"))
 
@@ -122,14 +113,13 @@ def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
 
     Per load and region the customers, per load and article the orders: their true number and whether the bounds hold it.
     """
-    tall = _tall(spark, d, {"shop_orders": ("customer_id",), "shop_lineitem": ("order_id",)}, day=False)
-    sets = {"shop_orders": ("load_no", "region"), "shop_lineitem": ("load_no", "sku")}
+    sets = {"shop_orders": ("customer_id", ("load_no", "region")), "shop_lineitem": ("order_id", ("load_no", "sku"))}
     low, high = kmv.bounds(F.col("hashes"), 64)
     parts = []
-    for name, dims in sets.items():
+    for name, (column, dims) in sets.items():
         keys = [*FIXED, *dims]
-        bounds = _sketches(tall[name], [dims], k=64).select(*keys, low.alias("low"), high.alias("high"))
-        true = tall[name].where(F.col("id").isNotNull()).select(*keys, "id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("true_ndv"))
+        bounds = _sketches(spark, d, name, {column: {dims}}, k=64).select(*keys, low.alias("low"), high.alias("high"))
+        true = _tall(spark, d, name, (column,)).select(*keys, "id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("true_ndv"))
         same = reduce(lambda a, b: a & b, (true[k].eqNullSafe(bounds[k]) for k in keys))
         held = F.coalesce(F.col("true_ndv").between(F.col("low"), F.col("high")), F.lit(False)).alias("held")
         parts.append(true.join(bounds, same, "left").select(*[true[k] for k in FIXED], true["load_no"], true[dims[1]].alias("value"), "true_ndv", held))
@@ -138,8 +128,7 @@ def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_kept_customers(spark: SparkSession, d: str) -> DataFrame:
     """Customers of each load against the load before: all, in both, and in either only, with bounds."""
-    tall = _tall(spark, d, {"shop_orders": ("customer_id",)}, day=False)["shop_orders"]
-    sketches = cut(_sketches(tall, [("load_no",)]).select("load_no", "hashes"))
+    sketches = cut(_sketches(spark, d, "shop_orders", {"customer_id": {("load_no",)}}).select("load_no", "hashes"))
     before = sketches.select((F.col("load_no") + 1).alias("load_no"), F.col("hashes").alias("before"))
     return kmv.compare(sketches.join(before, "load_no"), "before", "hashes").drop("before", "hashes")
 
