@@ -63,16 +63,18 @@ def explain(catalog: Catalog, text: str, reorder: bool = True, pushdown: bool =
 
 @dataclass(frozen=True)
 class Analysis:
+    """``rows`` is empty where they were not fetched; ``plan.actual_rows`` is their number either way."""
+
     rows: list[tuple[Any, ...]]
     schema: Scope
     plan: P.PlanStats
 
 
-def explain_analyze(catalog: Catalog, text: str, reorder: bool = True, pushdown: bool = True) -> Analysis:
-    """Run the query with a count after every node."""
+def explain_analyze(catalog: Catalog, text: str, reorder: bool = True, pushdown: bool = True, fetch: bool = True) -> Analysis:
+    """Run the query with a count after every node; ``fetch=False`` leaves its rows where they are."""
     root = compile_sql(catalog, text, reorder, pushdown)
     with _dialect(catalog.spark):
-        _, rows, plan = P.profile(catalog, root, _named)
+        _, rows, plan = P.profile(catalog, root, _named, fetch)
     return Analysis([tuple(r) for r in rows], root.scope, plan)
 
 

@@ -173,7 +173,7 @@ def analyze_counts(spark: SparkSession, d: str) -> DataFrame:
     def flat(plan) -> list[tuple[str, int]]:
         return [(plan.label, plan.actual_rows), *[row for c in plan.children for row in flat(c)]]
 
-    return spark.createDataFrame(flat(engine.explain_analyze(catalog(spark, d), _ANALYZED).plan), "label string, actual_rows bigint")
+    return spark.createDataFrame(flat(engine.explain_analyze(catalog(spark, d), _ANALYZED, fetch=False).plan), "label string, actual_rows bigint")
 
 
 def explain_estimates(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ def explain_estimates(spark: SparkSession, d: str) -> DataFrame:
     def flat(plan) -> list[tuple[str, float]]:
         return [(plan.label, round(plan.estimated_rows, 3)), *[row for c in plan.children for row in flat(c)]]
 
-    return spark.createDataFrame(flat(engine.explain_analyze(catalog(spark, d), _ANALYZED).plan), "label string, estimated_rows double")
+    return spark.createDataFrame(flat(engine.explain_analyze(catalog(spark, d), _ANALYZED, fetch=False).plan), "label string, estimated_rows double")
 
 
 def statistics(spark: SparkSession, d: str) -> DataFrame:
