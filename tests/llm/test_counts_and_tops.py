@@ -179,3 +179,34 @@ def test_open_records_are_counted_exactly(spark, tmp_path, monkeypatch):
     spark.createDataFrame(stats, "stat_id long, table_name string, column_name string, load_no long, region string, year long, sku string, ndv long").write.parquet(f"{tmp_path}/table_stats.parquet")
     monkeypatch.setattr(queries, "K", 16)
     assert {r.stat_id for r in queries.p3_found(spark, str(tmp_path)).collect()} == wrong
+
+
+def test_top_lines_of_hot_orders(spark, tmp_path):
+    """A third of all lines on one order and one article: the hot partition of the join is split, and the rows are those of sorting."""
+    rng = random.Random(11)
+    stamp = datetime(2024, 1, 1)
+    region_of = lambda order: ["eu", "us", None][order % 3]
+    hot = lambda x, other: x if rng.random() < 0.34 else other
+    lines = [(i, hot(7, rng.randrange(400)), hot("s1", rng.choice(["s2", "s3", None])), rng.choice([None, *range(90)]), stamp, hot(1, rng.randrange(2, 4))) for i in range(40_000)]
+    orders = [(i, i % 300, i, region_of(i % 300), 2024, stamp, 1) for i in range(600)]
+    spark.createDataFrame(lines, "line_id long, order_id long, sku string, revenue long, loaded_at timestamp, load_no long").repartition(8).write.parquet(f"{tmp_path}/shop_lineitem.parquet")
+    spark.createDataFrame(orders, "row_id long, id long, customer_id long, region string, year long, loaded_at timestamp, load_no long").write.parquet(f"{tmp_path}/shop_orders.parquet")
+    groups = defaultdict(list)
+    for line, order, sku, revenue, _, load in lines:
+        region = region_of(order) if order < 300 else None
+        if sku and region and revenue is not None:
+            groups[load, region, sku].append((-revenue, line))
+    want = {(line, i + 1) for g in groups.values() for i, (_, line) in enumerate(sorted(g)[:3])}
+    adaptive = "spark.sql.adaptive."
+    thresholds = {"spark.sql.autoBroadcastJoinThreshold": "-1", f"{adaptive}skewJoin.skewedPartitionThresholdInBytes": "20k", f"{adaptive}skewJoin.skewedPartitionFactor": "2", f"{adaptive}advisoryPartitionSizeInBytes": "10k", f"{adaptive}coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in thresholds}
+    for k, v in thresholds.items():
+        spark.conf.set(k, v)
+    try:
+        df = queries.p4_found(spark, str(tmp_path))
+        got = {tuple(r) for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == want and "skew=true" in plan

@@ -273,7 +273,15 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(truncation.truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p3_bounds, p3_kept_customers, p4_found, p6_found, p6_containers, p6_fill, p6_by_chars, p7_found, p7_chosen, p7_shares, p7_leaves, p7_by_chars, p8_found, p8_rates)}
+def p8_closed(spark: SparkSession, d: str) -> DataFrame:
+    """Per source the texts without a ``<`` that end with a full stop, question or exclamation mark, and how many of them are reported: none."""
+    docs = table(spark, d, "documents")
+    closed = docs.where(F.col("text").rlike(r"(?<!\.\.)[.!?]\z") & ~F.contains(F.col("text"), F.lit("<"))).select("doc_id")
+    judged = truncation.truncated(docs).join(closed, "doc_id")
+    return judged.groupBy("source").agg(F.count(F.lit(1)).alias("closed"), F.sum(F.col("truncated").cast("bigint")).alias("reported"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p3_bounds, p3_kept_customers, p4_found, p6_found, p6_containers, p6_fill, p6_by_chars, p7_found, p7_chosen, p7_shares, p7_leaves, p7_by_chars, p8_found, p8_rates, p8_closed)}
 
 _STATS = " UNION ALL ".join(
     f"SELECT s.stat_id, s.ndv, count(DISTINCT t.{c}) AS true_ndv FROM table_stats s LEFT JOIN {t} t ON t.load_no = s.load_no {extra} WHERE s.table_name = '{t}' AND s.column_name = '{c}' {only} GROUP BY ALL"
@@ -294,4 +302,5 @@ ORACLE = {
     "p7_by_chars": """SELECT t.source, CAST(coalesce(s.chars, 0) AS BIGINT) AS chars, coalesce(s.chars, 0) * t.max_repeats < t.target_share * (SELECT sum(length(text)) FROM documents) AS short,
   CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS over_used, CAST(0 AS BIGINT) AS twice
   FROM mix_targets t LEFT JOIN (SELECT source, sum(length(text)) AS chars FROM documents GROUP BY source) s ON s.source = t.source""",
+    "p8_closed": "SELECT source, count(*) AS closed, CAST(0 AS BIGINT) AS reported FROM documents WHERE right(text, 1) IN ('.', '!', '?') AND NOT (right(text, 1) = '.' AND text LIKE '%...') AND NOT contains(text, '<') GROUP BY source",
 }
