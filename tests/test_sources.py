@@ -176,10 +176,13 @@ def test_profile_counts_rows(spark):
     found = explain_analyze(catalog, "SELECT t.id FROM t WHERE t.k = 1")
     assert find(found.plan, "Filter").actual_rows == 1 and find(found.plan, "Filter").misestimate == 25
     assert "estimate off by 25x" in format_analyze(found.plan)
-    catalog.register("t", ["id"], [(i,) for i in range(1000)])
     bare = explain_analyze(catalog, "SELECT t.id FROM t WHERE t.k = 1", fetch=False)
     counts = lambda plan: [plan.actual_rows, *[n for c in plan.children for n in counts(c)]]
     assert bare.rows == [] and counts(bare.plan) == counts(found.plan)
+    timed = explain_analyze(catalog, "SELECT t.id FROM t WHERE t.k = 1", times=True).plan
+    scan = timed.children[0].children[0]
+    assert timed.total_ms >= timed.children[0].total_ms >= scan.total_ms == scan.self_ms > 0 and timed.self_ms >= 0 and found.plan.children[0].total_ms is None
+    catalog.register("t", ["id"], [(i,) for i in range(1000)])
     found = explain_analyze(catalog, "SELECT t.id FROM t LIMIT 3")
     assert found.plan.actual_rows == 3 and found.plan.estimated_rows == 3
 

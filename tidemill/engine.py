@@ -70,11 +70,14 @@ class Analysis:
     plan: P.PlanStats
 
 
-def explain_analyze(catalog: Catalog, text: str, reorder: bool = True, pushdown: bool = True, fetch: bool = True) -> Analysis:
-    """Run the query with a count after every node; ``fetch=False`` leaves its rows where they are."""
+def explain_analyze(catalog: Catalog, text: str, reorder: bool = True, pushdown: bool = True, fetch: bool = True, times: bool = False) -> Analysis:
+    """Run the query with a count after every node; ``fetch=False`` leaves its rows where they are.
+
+    ``times`` adds the time of every node, for which each part of the plan is run again by itself: for small data.
+    """
     root = compile_sql(catalog, text, reorder, pushdown)
     with _dialect(catalog.spark):
-        _, rows, plan = P.profile(catalog, root, _named, fetch)
+        _, rows, plan = P.profile(catalog, root, _named, fetch, times)
     return Analysis([tuple(r) for r in rows], root.scope, plan)
 
 
