@@ -39,6 +39,13 @@ def test_csv_cells_that_are_not_numbers(spark, tmp_path):
     assert [f.dataType.simpleString() for f in catalog.get("t").frame.schema] == ["decimal(38,0)", "double"]
 
 
+def test_csv_cells_of_any_length(spark, tmp_path):
+    long = 200_000
+    catalog = load(spark, tmp_path, f"a,b,c,d,e\n{'1' * 350},0.{'1' * long},1{'_1' * long},{'0' * long}7,x{'y' * long}\n2,3,4,5,6\n")
+    assert [f.dataType.simpleString() for f in catalog.get("t").frame.schema] == ["string", "double", "string", "bigint", "string"]
+    assert execute(catalog, "SELECT d FROM t ORDER BY d")[0] == [(5,), (7,)]
+
+
 def test_csv_quotes_and_lines(spark, tmp_path):
     catalog = load(spark, tmp_path, 'a,b\n"say ""hi""",1\n"two\nlines",2\nshort\n\nlong,4,5\n')
     assert execute(catalog, "SELECT a, b FROM t ORDER BY b")[0] == [('say "hi"', 1), ("two\nlines", 2), ("long", 4), ("short", None)]

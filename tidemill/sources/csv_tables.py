@@ -12,11 +12,10 @@ from pyspark.sql import types as T
 
 from tidemill.errors import EngineError
 
-_DIGITS = "[0-9](?:_?[0-9])*+"
-_INT = rf"\A[+-]?{_DIGITS}\z"
-_FLOAT = rf"(?i)\A[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?|nan)\z"
-#: No number is longer; longer cells are text and not matched against the patterns.
-LONGEST = 400
+# Single classes of characters under possessive quantifiers: Java matches them in a loop, however long the cell.
+_INT = r"\A[+-]?[0-9][0-9_]*+\z"
+_FLOAT = r"(?i)\A[+-]?(?:(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:e[+-]?[0-9]++)?|inf(?:inity)?|nan)\z"
+_STRAY = r"(?:\A|[^0-9])_|_(?:[^0-9]|\z)"
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -43,7 +42,7 @@ def read(spark: SparkSession, path: str, names: list[str], multiline: bool | Non
     """The records of a CSV file as columns ``c0, c1, …``, one per name of its header.
 
     Empty cells, quoted or not, are NULL; ``""`` within quotes is a quote. A column whose cells all are integers becomes BIGINT
-    (DECIMAL(38,0) if one does not fit), one of numbers DOUBLE, any other STRING; integers may have spaces around, a sign, leading
+    (DECIMAL(38,0) if one does not fit), one of numbers DOUBLE, any other STRING, however long the cells; integers may have spaces around, a sign, leading
     zeros and single ``_`` between digits. Short records are padded with NULL, blank lines skipped, cells beyond the
     header dropped; a name that occurs twice is only an error for a query that uses it. Spark splits large files unless a cell may hold a
     line break; ``multiline`` says so where it is known.
@@ -55,7 +54,7 @@ def read(spark: SparkSession, path: str, names: list[str], multiline: bool | Non
     text = text.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in text.columns])
     facts = []
     for c in text.columns:
-        whole, number = _like(c, _INT), _like(c, _INT) | _like(c, _FLOAT)
+        whole, number = _whole(c), _number(c)
         facts += [
             F.coalesce(F.bool_and(whole), F.lit(False)).alias(f"{c}_int"),
             F.coalesce(F.bool_and(F.when(F.col(c).isNotNull(), _bare(c).try_cast("bigint").isNotNull())), F.lit(False)).alias(f"{c}_long"),
@@ -70,9 +69,15 @@ def _bare(c: str) -> Column:
     return F.replace(F.trim(F.col(c)), F.lit("_"), F.lit(""))
 
 
-def _like(c: str, pattern: str) -> Column:
-    """NULL for NULL cells."""
-    return F.when(F.col(c).isNull(), None).when(F.length(c) > LONGEST, F.lit(False)).otherwise(F.trim(F.col(c)).rlike(pattern))
+def _whole(c: str) -> Column:
+    """Whether a cell is written as an integer; NULL for NULL cells. ``_`` stands between digits only."""
+    return F.trim(F.col(c)).rlike(_INT) & ~F.trim(F.col(c)).rlike(_STRAY)
+
+
+def _number(c: str) -> Column:
+    """Whether a cell is written as a number; NULL for NULL cells. An integer that no DOUBLE comes near is none."""
+    beyond = _whole(c) & F.abs(_bare(c).try_cast("double")).eqNullSafe(F.lit(float("inf")))
+    return _bare(c).rlike(_FLOAT) & ~F.trim(F.col(c)).rlike(_STRAY) & ~beyond
 
 
 def _typed(c: str, seen) -> Column:
