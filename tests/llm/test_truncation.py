@@ -1,6 +1,7 @@
 """Truncation: the automaton, the evidence, and accuracy on documents whose pages are known."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ def test_pages():
     assert state("One two three four five six.\nSeven eight n<im", half) == "broken"
     assert state("One two three four five six.", half) is None
     assert state("Something else altogether, it seems", page) is None
+    assert state("Some words in the page here", "<html><!-- <b> --><p>Some words in the page here</p><!----></html>") == "whole"
     assert tr.page_state("text without a page here", None) is None and state("plain text served as it is", "plain text served as it is") is None
     assert state("日本語の長い文章がここにあります", "<html><body><p>日本語の長い文章がここにあります</p></body></html>") == "whole"
     assert tr.page_state("d'été à la plage toujours", "<html><body><p>d'été à la plage toujours</p></body></html>".encode("latin-1")) == "whole"
@@ -69,6 +71,16 @@ def test_corner_quotes():
     assert [tr.open_at_end(t)[0] for t in ("彼は「今日は『雨』だ」と言った", "彼は「今日は『雨", "彼は「今日は『雨』だ")] == [[], ["「", "『"], ["「"]]
 
 
+def test_long_texts_take_time_in_proportion():
+    """Shapes that make a careless scan quadratic, a million characters each."""
+    n = 250_000
+    shapes = ["[<b>" + "(" * n + "]" * n, "(" * n + '"' * n, "<!--" * n, "<a b=c " * n, "<i>" * n + "</b>" * n, "&" * n, "「" * n + "』" * n, "<" * n, "%41" * n, "a. b" * n, "<a" + " b=c" * n, "| " * n]
+    began = time.perf_counter()
+    for shape in shapes:
+        tr.examine(shape, shape.encode(), "x" * n)
+    assert time.perf_counter() - began < 60
+
+
 def test_mixture():
     """Of 1,000 cut texts among 20,000 a tenth is torn; half of all promise nothing, of the cut others nine in ten promise more than 99.9 % of the whole."""
     def split(n, far):

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,7 +49,7 @@ LEVELS = [0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999]
 SEED = 0.95
 SALTS = 16
 
-_PAIRS = {")": "(", "]": "[", "}": "{", "”": "“„", "»": "«", "“": "„", "」": "「", "』": "『"}
+_PAIRS = {")": "(", "]": "[", "}": "{", "”": "“ „", "»": "«", "“": "„", "」": "「", "』": "『"}
 _OPENERS = set("([{“„«「『")
 _QUOTES = set('"“„«「『')
 _STRUCTURE = re.compile(r"""[()\[\]{}“”„«»「」『』"\n]|<(?=[a-zA-Z/!?])[^<>]*>""")
@@ -70,7 +71,7 @@ _ENTITY = re.compile(r"&(#x?[0-9a-fA-F]*|[A-Za-z][A-Za-z0-9]*)?\Z")
 _ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{0,3}|%[0-9a-fA-F]{2}%[0-9a-fA-F]?)\Z")
 _LENGTH = re.compile(r"^content-length:\s*(\d{1,18})\s*$", re.I | re.M)
 _ZIPPED = re.compile(r"^content-encoding:\s*(?:gzip|deflate|br|zstd)", re.I | re.M)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*>|<!--.*?-->|<[!?][^<>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*>")
 #: fixed values: elements that need no end tag
 _VOID = set("area base br col embed hr img input link meta source track wbr p li td tr th dd dt option".split())
 _ASCII = re.compile(r"[^0-9A-Za-z]+")
@@ -92,35 +93,43 @@ def open_at_end(text: str) -> tuple[list[str], list[str]]:
     quote closes an open one, else opens where a word may begin. Elements are pushed by start tags and popped by their end tags.
     """
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of every symbol, and of elements under ``<``, in the stack
     line = 0
 
-    def close(wanted: str | set[str]) -> bool:
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] in wanted:
-                # a bracket does not close across an element, nor a quote across a line
-                if any(len(s) > 1 for s, _ in stack[at + 1 :]) and len(stack[at][0]) == 1:
-                    return False
-                del stack[at:]
-                return True
-        return False
+    def push(symbol: str) -> None:
+        for key in (symbol, "<") if len(symbol) > 1 else (symbol,):
+            places[key].append(len(stack))
+        stack.append((symbol, line))
+
+    def close(wanted: str) -> bool:
+        at = max((places[w][-1] for w in wanted.split(" ") if places[w]), default=-1)
+        # A bracket or quote does not close across an element left open inside it.
+        if at < 0 or (len(stack[at][0]) == 1 and places["<"] and places["<"][-1] > at):
+            return False
+        for symbol, _ in stack[at:]:
+            places[symbol].pop()
+            if len(symbol) > 1:
+                places["<"].pop()
+        del stack[at:]
+        return True
 
     for found in _STRUCTURE.finditer(text):
         token = found[0]
         if token == "\n":
             line += 1
         elif token == '"':
-            if not close({'"'}) and (found.start() == 0 or not (text[found.start() - 1].isalnum() or text[found.start() - 1] in ".,!?;:")):
-                stack.append((token, line))
+            if not close('"') and (found.start() == 0 or not (text[found.start() - 1].isalnum() or text[found.start() - 1] in ".,!?;:")):
+                push(token)
         elif token[0] == "<":
             tag = _TAG.match(token)
             name = tag and (tag[2] or "").lower()
             if name and name not in _VOID and not token.endswith("/>"):
                 if tag[1]:
-                    close({f"<{name}"})
+                    close(f"<{name}")
                 else:
-                    stack.append((f"<{name}", line))
-        elif not (token in _PAIRS and close(set(_PAIRS[token]))) and token in _OPENERS:
-            stack.append((token, line))
+                    push(f"<{name}")
+        elif not (token in _PAIRS and close(_PAIRS[token])) and token in _OPENERS:
+            push(token)
     return [s for s, at in stack if at == line], [s for s, at in stack if at < line]
 
 
@@ -175,6 +184,15 @@ def end_state(text: str) -> str:
     return "left" if earlier else "line"
 
 
+def _uncommented(page: str) -> str:
+    """The page without its comments; one that never ends is kept."""
+    out, at = [], 0
+    while (begin := page.find("<!--", at)) >= 0 and (end := page.find("-->", begin + 4)) >= 0:
+        out.append(page[at:begin])
+        at = end + 3
+    return "".join([*out, page[at:]])
+
+
 def page_state(text: str, page: bytes | None) -> str | None:
     """Where the text ends in the page it is from.
 
@@ -188,15 +206,19 @@ def page_state(text: str, page: bytes | None) -> str | None:
     except UnicodeDecodeError:
         source = page.decode("utf-8", errors="ignore") if page[:-4].decode("utf-8", errors="ignore").encode() in (page[:-4], page[:-5], page[:-6], page[:-7]) else page.decode("latin-1")
     stack: list[str] = []
-    for found in _TAG.finditer(source):
-        name = (found[2] or "").lower()
-        if not name or name in _VOID or found[0].endswith("/>"):
+    inside: Counter[str] = Counter()
+    for found in _TAG.finditer(_uncommented(source)):
+        name = found[2].lower()
+        if name in _VOID or found[0].endswith("/>"):
             continue
         if not found[1]:
             stack.append(name)
-        elif name in stack:
-            while stack.pop() != name:
-                pass
+            inside[name] += 1
+        elif inside[name]:
+            while inside[name] and (last := stack.pop()):
+                inside[last] -= 1
+                if last == name:
+                    break
     if not stack and "<" not in source:
         return None
     closed = not stack
