@@ -195,7 +195,8 @@ def p6_by_chars(spark: SparkSession, d: str) -> DataFrame:
         count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
         sums = whole.agg(count(F.col("item").isNotNull()).alias("texts"), count(F.col("a") < F.col("b")).alias("split"), count(F.col("n")).alias("pieces"), count(F.col("s")).alias("chars"), count(F.col("lost")).alias("unplaced"), count(~F.col("s").eqNullSafe(F.col("chars"))).alias("unequal"))
         over = packed.groupBy("container_no").agg(F.sum("size").alias("s")).agg(count(F.col("s") > capacity).alias("overfull"))
-        parts.append(sums.crossJoin(over).withColumn("container_name", F.lit(name)))  # one row each
+        kind = F.lit(name).alias("container_name")
+        parts.append(sums.select(kind, "*").join(over.select(kind, "*"), "container_name"))  # one row each
     return reduce(DataFrame.unionByName, parts)
 
 
