@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill import runtime
+from tidemill import EngineError, runtime
 
 
 def test_cut_and_clear(spark):
@@ -36,6 +36,13 @@ def test_the_cluster_names_the_folder():
     assert runtime.shared_dir(session) == "hdfs://shared/work"
 
 
+def test_a_cluster_has_to_name_a_folder():
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset))
+    with pytest.raises(EngineError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(session)
+
+
 def test_ship_once(spark):
     runtime.ship(spark)
     runtime.ship(spark)

@@ -14,6 +14,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.errors import EngineError
+
 _LOCAL_DIRS: dict[str, str] = {}
 _SCOPES: list[str] = []
 
@@ -26,12 +28,14 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, for data that cuts a lineage.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset, as in tests on one machine, a
-    temporary folder is made and removed at exit.
+    ``spark.checkpoint.dir`` names it. Only where that is unset on a single machine, as in tests, a
+    temporary folder is made and removed at exit; on a cluster it has to be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise EngineError("spark.checkpoint.dir must name a folder all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tidemill-")
