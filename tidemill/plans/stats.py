@@ -76,21 +76,23 @@ def _counted_here(table: Table, names: list[str]) -> list[int] | None:
     return [got.num_rows, *[pc.count_distinct(got[f"c{i}"]).as_py() for i in places]]
 
 
-def table_stats(catalog: Catalog, table: Table, columns: set[str]) -> TableStats:
+def table_stats(catalog: Catalog, table: Table, columns: set[str], is_small: bool | None = None) -> TableStats:
     """Statistics of a table, with the distinct counts of ``columns``; kept until the name is registered anew.
 
-    Counted exactly whatever the size: of tables that Spark would broadcast on the driver, from just those columns, of others in one pass.
+    Counted exactly whatever the size: of tables that Spark would broadcast on the driver, from just those columns, of others in one pass. ``is_small`` says
+    which it is, where that is known.
     """
     known = catalog.stats.get(table.name)
     stats = known[1] if known is not None and known[0] is table else None
     if stats is None:
-        files = _files_of(table) if table.local is None and small(table) else ()
+        is_small = small(table) if is_small is None else is_small
+        files = _files_of(table) if table.local is None and is_small else ()
         stats = _KEPT.setdefault(files, TableStats(-1)) if files else TableStats(-1)
         if stats.row_count >= 0:
             catalog.stats[table.name] = (table, stats)
     wanted = {c: F.col(f"c{i}") for i, c in reversed(list(enumerate(table.columns))) if c in columns and c not in stats.ndv}
     if stats.row_count < 0 or wanted:
-        row = _counted_here(table, list(wanted)) if wanted and small(table) else None
+        row = _counted_here(table, list(wanted)) if wanted and (small(table) if is_small is None else is_small) else None
         if row is None:
             row = table.frame.agg(F.count(F.lit(1)), *[F.count_distinct(c) for c in wanted.values()]).first()
         stats.row_count = row[0]
@@ -108,10 +110,11 @@ def gather(catalog: Catalog, wanted: Sequence[tuple[Table, set[str]]]) -> list[T
     merged: dict[str, tuple[Table, set[str]]] = {}
     for table, columns in wanted:
         merged[table.name] = (table, merged.get(table.name, (table, set()))[1] | columns)
-    large = [name for name, (table, _) in merged.items() if not small(table)]
-    alone = merged.pop(large[0])[0] if len(large) == 1 and sum(t.name == large[0] for t, _ in wanted) == 1 else None
     with ThreadPoolExecutor(len(merged) or 1) as pool:
-        found = dict(zip(merged, pool.map(lambda tc: table_stats(catalog, *tc), merged.values())))
+        sizes = dict(zip(merged, pool.map(lambda tc: small(tc[0]), merged.values())))
+        large = [name for name, is_small in sizes.items() if not is_small]
+        alone = merged.pop(large[0])[0] if len(large) == 1 and sum(t.name == large[0] for t, _ in wanted) == 1 else None
+        found = dict(zip(merged, pool.map(lambda name: table_stats(catalog, *merged[name], sizes[name]), merged)))
     if alone is not None:
         known = catalog.stats.get(alone.name)
         width = int(alone.frame._jdf.schema().defaultSize())
