@@ -155,6 +155,34 @@ def test_heaps_merge_in_order():
     assert list(zip(out["k0"].to_pylist(), out["score"].to_pylist(), out["rank"].to_pylist())) == want
 
 
+@pytest.mark.parametrize("ordered", [None, ["k0"]])
+def test_heaps_meet_rows_that_come_later(ordered):
+    """A heap kept over from what was gathered before has the schema of the rows Spark sends, whose rank can't be NULL."""
+    rows = [(g, g * 100 + s) for g in range(40) for s in range(9)]
+    schema = pa.schema([pa.field("k0", pa.int64()), *[pa.field(c, pa.int64(), nullable=False) for c in ("score", "item")], pa.field("rank", pa.int32(), nullable=False)])
+    table = pa.table([[r[0] for r in rows], [r[1] for r in rows], [r[1] for r in rows], [0] * len(rows)], schema=schema)
+    out = list(stream(iter(table.to_batches(max_chunksize=5)), partial(_best, keys=["k0"], n=2), ordered, gather=300))
+    assert out and all(b.schema == schema for b in out)
+    got = [(r["k0"], r["score"], r["rank"]) for b in out for r in b.to_pylist()]
+    assert got == [(g, g * 100 + 9 - rank, rank) for g in range(40) for rank in (1, 2)]
+
+
+def test_top_n_of_tasks_that_gather_more_than_once(spark):
+    """One task of 56 MB before the shuffle and one of 39 MB after it, each more than is gathered at once."""
+    n, groups = 2_000_000, 700_000
+    df = spark.range(n, numPartitions=1).select((F.col("id") % groups).alias("g"), F.col("id").alias("s"), F.col("id").alias("i"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        best = top_n(df, ["g"], "s", "i", 2)
+        last = F.when(F.col("g") < n % groups, F.col("g") + n // groups * groups).otherwise(F.col("g") + (n // groups - 1) * groups)
+        right = F.col("s") == last - (F.col("rank_no") - 1) * groups
+        found = best.agg(F.count(F.lit(1)).alias("rows"), F.sum(right.cast("int")).alias("right"), F.sum((F.col("rank_no") == 1).cast("int")).alias("firsts"), F.count_distinct("g").alias("groups")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(found) == (2 * groups, 2 * groups, groups, groups)
+
+
 def test_open_records_are_counted_exactly(spark, tmp_path, monkeypatch):
     """With sketches of 16 values most records stay open; a third of all rows are of one load, and some rows of it have a NULL region, year or article."""
     rng = random.Random(9)

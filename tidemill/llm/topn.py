@@ -26,7 +26,9 @@ def _best(table: pa.Table, keys: list[str], n: int) -> pa.Table:
     sorted_codes = codes[order]
     place = np.arange(len(order)) - np.searchsorted(sorted_codes, np.arange(len(first)))[sorted_codes]
     best = table.take(pa.array(order[place < n]))
-    return best.set_column(best.schema.get_field_index("rank"), "rank", pa.array(place[place < n] + 1, type=pa.int32()))
+    at = best.schema.get_field_index("rank")
+    # The field stays as it came, not nullable: heaps are joined with rows that came later, and Arrow joins equal schemas only.
+    return best.set_column(at, best.schema.field(at), pa.array(place[place < n] + 1, type=pa.int32()))
 
 
 def partial_top_n(df: DataFrame, keys: list[str], score: str, item: str, n: int) -> DataFrame:
